@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiweave.llm.common import folded_rows
+from lexiweave.sources.workdir import stored
 
 
 def _value_hash(name: str, value: Column, seed: int) -> Column:
@@ -25,30 +26,42 @@ def multiset_fingerprint(fields: list[tuple[str, Column]]) -> list[Column]:
     return out
 
 
-def grouped_copies(rows: DataFrame, key: str, fixed: list[str], loose: tuple[str, str]) -> DataFrame:
-    """first_id and `key` of every row but the first (smallest `key`) of its record, and n_copies of the record.
+#: Groups of copies are joined by broadcast up to so many (some 30 MB), beyond that by a shuffle that AQE may split.
+BROADCAST_GROUPS = 300_000
+
+
+def _sized(df: DataFrame, most: int) -> DataFrame:
+    """A stored table, for broadcast if it is small enough."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def grouped_copies(rows: DataFrame, key: str, fixed: list[str], loose: tuple[str, str], *, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
+    """k and first_id of the rows in groups of copies, whether they are the `same` as the group's first row, and if not their fields.
 
     Two rows are copies if they agree in the `fixed` columns and their two `loose` columns hold the same
     two values, whichever holds which; nulls equal nulls. Rows are grouped by a multiset fingerprint;
-    then each row is held against the first one of its group, field by field and without sorting the
-    fields. Rows that only share a fingerprint go, with their whole group, by their fields instead.
+    first_id is the smallest `key` of the group, and each row is held against that first row, field by
+    field and without sorting the fields. The first row is the same as itself.
 
-    Groups are aggregated before the shuffle, and members find their group by a join that AQE splits
-    where one group holds much of all rows. Repeated `key` values give repeated rows.
+    Only fingerprints and keys are shuffled to find the groups, aggregated before the shuffle. Texts
+    are looked at in groups of two and more only, so the join to their rows leaves out all others.
+    Repeated `key` values give repeated rows.
     """
     a, b = loose
     fp1, fp2 = multiset_fingerprint([*((c, F.col(c)) for c in fixed), ("loose", F.col(a)), ("loose", F.col(b))])
-    marked = rows.select(F.col(key).alias("k"), *fixed, a, b, fp1.alias("fp1"), fp2.alias("fp2"))
-    groups = marked.groupBy("fp1", "fp2").agg(F.min("k").alias("first_id"), F.count(F.lit(1)).alias("n_copies")).where("n_copies > 1")
-    members = marked.join(groups, ["fp1", "fp2"])
-    first = members.where("k = first_id").dropDuplicates(["fp1", "fp2"]).select("fp1", "fp2", *[F.col(c).alias(f"of_{c}") for c in (*fixed, a, b)])
-    held = members.join(first, ["fp1", "fp2"])
+    fields = [*fixed, a, b]
+    marked = rows.select(F.col(key).alias("k"), *fields, fp1.alias("fp1"), fp2.alias("fp2"))
+    groups = marked.groupBy("fp1", "fp2").agg(F.min("k").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    members = stored(marked.join(_sized(stored(groups, "p4-groups"), broadcast_groups), ["fp1", "fp2"]), "p4-members")
+    first = members.where("k = first_id").dropDuplicates(["fp1", "fp2"]).select("fp1", "fp2", *[F.col(c).alias(f"of_{c}") for c in fields])
+    held = members.join(_sized(stored(first, "p4-first"), broadcast_groups), ["fp1", "fp2"])
     same = F.lit(True)
     for c in fixed:
         same = same & F.col(c).eqNullSafe(F.col(f"of_{c}"))
     straight = F.col(a).eqNullSafe(F.col(f"of_{a}")) & F.col(b).eqNullSafe(F.col(f"of_{b}"))
     crossed = F.col(a).eqNullSafe(F.col(f"of_{b}")) & F.col(b).eqNullSafe(F.col(f"of_{a}"))
-    return held.select("k", "first_id", "n_copies", (same & (straight | crossed)).alias("same"), *fixed, a, b)
+    held = held.withColumn("same", same & (straight | crossed))
+    return stored(held.select("k", "first_id", "same", *[F.when(~F.col("same"), F.col(c)).alias(c) for c in fields]), "p4-held")
 
 
 def copies(long_df: DataFrame) -> DataFrame:
