@@ -5,8 +5,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiweave.llm.bpe_transducer import decode_documents, encode_documents
 from lexiweave.llm.cooccurrence import association_pairs
+from lexiweave.llm.eval_leakage import leaked, passages, without_leaks
 from lexiweave.llm.format_dedup import copies, records_with_copies
+from lexiweave.llm.personal_data import masked, personal_data
 from lexiweave.llm.term_counts import association_counts, marked_terms
 from lexiweave.llm.top_n import top_associations
 from lexiweave.sources.tables import table
@@ -41,8 +44,41 @@ def p4_records(spark: SparkSession, folder: str) -> DataFrame:
     return records_with_copies(table(spark, folder, "long_df"))
 
 
+#: The public vocabulary byte_bpe_50k.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encode_documents(table(spark, folder, "documents"), VOCABULARY)
+
+
+def p8_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text after encoding and streaming decode; a null text comes back empty."""
+    return decode_documents(p8_ids(spark, folder), VOCABULARY)
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p9_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return passages(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p9_clean(spark: SparkSession, folder: str) -> DataFrame:
+    return without_leaks(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "eval_items"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data(table(spark, folder, "documents"))
+
+
+def p10_masked(spark: SparkSession, folder: str) -> DataFrame:
+    return masked(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_terms, p2_found, p3_found, p3_lift, p4_found, p4_records)
+    f.__name__: f for f in (p1_found, p2_terms, p2_found, p3_found, p3_lift, p4_found, p4_records, p8_ids, p8_roundtrip, p9_found, p9_passages, p9_clean, p10_found, p10_masked)
 }
 
 _ROWS = r"""
@@ -75,5 +111,6 @@ SQL: dict[str, str] = {
     "p3_lift": f"{_PAIRS} select assoc_a, assoc_b, n, na, nb, n_records, lift from res",
     "p4_found": f"""with {_ROWS}, f as (select row_id, min(row_id) over (partition by {_KEY}) as first_id from rows_)
         select first_id, row_id from f where row_id <> first_id""",
+    "p8_roundtrip": "select doc_id, coalesce(text, '') as text from documents",
     "p4_records": f"with {_ROWS} select min(row_id) as first_id, count(*) as n_copies from rows_ group by {_KEY}",
 }
