@@ -238,9 +238,9 @@ def defect(text: str | None, got: Packed, cue: str | None, candidates: list[str]
         if _DECLINE.search(body):
             return "refusal"
         return "refusal" if re.search(r"[.!?]\s*$", body) else "truncated"
-    if own and set(values) == {own} and len(values) < asked and not got.open_end:
+    if own and set(values) == {own} and (len(values) > 1 or not got.open_end):
         return "copy"
-    if asked == 2 and len(values) > 2 * asked and (not candidates or set(values) <= set(candidates) | {own}):
+    if asked == 2 and len(values) > 2 * asked and (not candidates or 10 * len(set(values) & set(candidates)) >= 8 * len(set(values))):
         return "copy"
     short = len(values) < asked and not got.closed
     if not short:
