@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiweave.llm.linear import train
 from lexiweave.operators.packed_values import WORD_BITS, WordMap, word_bits
 from lexiweave.sources.workdir import stored
 
@@ -240,26 +241,6 @@ def reliabilities(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60)
     return {tuple(int(v) for v in p): float(s) for (p, _), s in zip(patterns, sure)}
 
 
-def _train(features: list[np.ndarray], target: np.ndarray, seed: int = 7, epochs: int = 12) -> np.ndarray:
-    """Logistic regression on hashed features with soft targets; the last weight is the bias."""
-    w = np.zeros(FEATURES + 1)
-    squares = np.full(FEATURES + 1, 1e-6)
-    rng = np.random.default_rng(seed)
-    sizes = np.array([len(f) for f in features])
-    for _ in range(epochs):
-        for rows in np.array_split(rng.permutation(len(features)), max(1, len(features) // 64)):
-            flat = np.concatenate([features[r] for r in rows])
-            at = np.repeat(np.arange(len(rows)), sizes[rows])
-            z = np.bincount(at, w[flat], len(rows)) + w[-1]
-            g = (1 / (1 + np.exp(-z)) - target[rows]) / len(rows)
-            grad = np.bincount(flat, g[at], FEATURES + 1)
-            grad[-1] = g.sum()
-            grad += 1e-5 * w
-            squares += grad**2
-            w -= 0.3 * grad / np.sqrt(squares)
-    return w
-
-
 def _score(weights: dict[str, np.ndarray]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -310,7 +291,7 @@ def find_spans(documents: DataFrame, *, train_spans: int = TRAIN_SPANS) -> DataF
         sample = own.where(F.pmod(F.xxhash64("doc_id", "a", "b"), F.lit(1_000_000)) < int(share * 1_000_000)).select("votes", "features").limit(2 * train_spans).toPandas()
         target = np.array([sure[tuple(int(v) for v in x.split(","))] for x in sample["votes"]])
         if len(sample):
-            weights[kind] = _train([np.asarray(x, np.int64) for x in sample["features"]], target)
+            weights[kind] = train([np.asarray(x, np.int64) for x in sample["features"]], target, FEATURES)
         else:
             weights[kind] = np.zeros(FEATURES + 1)
     if not weights:

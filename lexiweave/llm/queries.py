@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiweave.llm.bpe_transducer import decode_documents, encode_documents
+from lexiweave.llm.broken_pairs import broken_pairs
 from lexiweave.llm.cooccurrence import association_pairs
 from lexiweave.llm.eval_leakage import leaked, passages, without_leaks
 from lexiweave.llm.format_dedup import copies, records_with_copies
@@ -44,6 +45,10 @@ def p4_records(spark: SparkSession, folder: str) -> DataFrame:
     return records_with_copies(table(spark, folder, "long_df"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return broken_pairs(*(table(spark, folder, t) for t in ("fc_raw", "fa_raw", "documents")))
+
+
 #: The public vocabulary byte_bpe_50k.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -78,7 +83,7 @@ def p10_masked(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_terms, p2_found, p3_found, p3_lift, p4_found, p4_records, p8_ids, p8_roundtrip, p9_found, p9_passages, p9_clean, p10_found, p10_masked)
+    f.__name__: f for f in (p1_found, p2_terms, p2_found, p3_found, p3_lift, p4_found, p4_records, p6_found, p8_ids, p8_roundtrip, p9_found, p9_passages, p9_clean, p10_found, p10_masked)
 }
 
 _ROWS = r"""
