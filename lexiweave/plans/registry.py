@@ -4,10 +4,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiweave.plans import data_cleaning
+from lexiweave.plans import data_cleaning, words
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**data_cleaning.QUERIES}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**data_cleaning.QUERIES, **words.QUERIES}
+SQL: dict[str, str] = {**words.SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
