@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructField, StructType
 
 from lexiweave.functions.vectors import minus, normalized
 
@@ -75,7 +75,12 @@ def nearest(vectors: DataFrame, k: int, *by: str, words: int | None = None, bloc
 
 def embedding_layers(embeddings: DataFrame, layers: int = 4) -> DataFrame:
     """model, layer, word, vec: embeddings cut into layers of equal width, dimensions of even and odd number as two models."""
-    width = F.size("embedding") / layers
-    cut = embeddings.select(F.col("vec_id").alias("word"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(layers - 1)), lambda l: F.slice("embedding", (l * width).cast("int") + 1, width.cast("int")))).alias("layer", "part"))
-    parts = F.array(*[F.struct(F.lit(m).alias("model"), F.filter("part", lambda x, i, r=r: i % 2 == r).cast("array<double>").alias("vec")) for r, m in enumerate(("even", "odd"))])
-    return cut.select("layer", "word", F.explode(parts).alias("p")).select("p.model", "layer", "word", "p.vec")
+    width = (F.size("embedding") / layers).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), F.lit(layers - 1)), lambda n: F.slice("embedding", n * width + 1, width))
+    by_layer = embeddings.select(F.col("vec_id").alias("word"), F.posexplode(cut).alias("layer", "part"))
+
+    def every_second(rest: int):
+        return F.filter("part", lambda x, i: i % 2 == rest).cast("array<double>")
+
+    parts = F.array(*[F.struct(F.lit(m).alias("model"), every_second(r).alias("vec")) for r, m in enumerate(("even", "odd"))])
+    return by_layer.select("layer", "word", F.explode(parts).alias("p")).select("p.model", "layer", "word", "p.vec")

@@ -4,10 +4,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiweave.plans import data_cleaning, words
+from lexiweave.plans import data_cleaning, geometry, words
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**data_cleaning.QUERIES, **words.QUERIES}
-SQL: dict[str, str] = {**words.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**data_cleaning.QUERIES, **words.QUERIES, **geometry.QUERIES}
+SQL: dict[str, str] = {**words.SQL, **geometry.SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
