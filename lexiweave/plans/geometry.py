@@ -153,12 +153,12 @@ uv as (select vec_id as w, list(x / greatest(len, 1e-12) order by p) as v from c
 
 @C.query(f"""with {_UNIT}, s as (select a.w as word, b.w as neighbour, round(list_dot_product(a.v, b.v), 9) as sim from uv a join uv b on a.w <> b.w),
     t as (select *, row_number() over (partition by word order by sim desc, neighbour) as place from s qualify place <= 10)
-    select word, neighbour, round(sim, 5) as sim, place from t""")
+    select word, neighbour, place from t""")
 def embedding_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     """The ten nearest vectors of each vector by products of blocks."""
     v = centred(table(spark, d, "embeddings").select(F.col("vec_id").alias("word"), F.col("embedding").cast("array<double>").alias("vec")))
     near = nearest(stored(v.select("word", "vec"), "unit"), 10)
-    return near.select("word", "neighbour", F.round("sim", 5).alias("sim"), F.col("place").cast("long").alias("place"))
+    return near.select("word", "neighbour", F.col("place").cast("long").alias("place"))
 
 
 @C.query("""with w as (select count(distinct vec_id) as n from embeddings), k as (select unnest(generate_series(0, least(9999, n * (n - 1) // 2 - 1))) as t, n from w),

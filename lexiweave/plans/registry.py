@@ -4,10 +4,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiweave.plans import data_cleaning, geometry, words
+from lexiweave.plans import data_cleaning, geometry, models, reports, words
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**data_cleaning.QUERIES, **words.QUERIES, **geometry.QUERIES}
-SQL: dict[str, str] = {**words.SQL, **geometry.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**data_cleaning.QUERIES, **words.QUERIES, **geometry.QUERIES, **reports.QUERIES, **models.QUERIES}
+SQL: dict[str, str] = {**words.SQL, **geometry.SQL, **reports.SQL, **models.SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
