@@ -86,7 +86,7 @@ def file_statistics(lines: DataFrame) -> Drift:
     strings = values.where((F.col("raw_type") == "string") & number.isNull()).groupBy("path").agg(
         F.count(F.lit(1)).alias("n"), F.approx_count_distinct("value").alias("kinds"), F.count_if(F.col("value").rlike(_LISTED)).alias("lists")
     )
-    texts = strings.select("path", F.when(F.col("lists") * 2 > F.col("n"), "answer").when(F.col("kinds") > F.greatest(F.lit(8.0), F.least(F.sqrt("n"), F.lit(200.0))), "cue").alias("text_role"))
+    texts = strings.select("path", F.when(F.col("lists") * 2 > F.col("n"), "answer").when(F.col("kinds") > F.greatest(F.lit(6.0), F.least(F.sqrt("n"), F.lit(200.0))), "cue").alias("text_role"))
     # A distance that holds in most files where the path has a number is no accident.
     held = fields.where("n_number > 0").groupBy("path", "held").agg(F.count(F.lit(1)).alias("n_files"))
     most = held.groupBy("path").agg(F.max_by("held", F.struct(F.col("n_files"), F.coalesce("held", F.lit("")))).alias("usual"), F.max("n_files").alias("top"), F.sum("n_files").alias("all"))

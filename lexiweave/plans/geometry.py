@@ -109,7 +109,7 @@ def _near_cues(cells: DataFrame, k: int) -> DataFrame:
     return both.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
-@C.query(f"with {_NEAR} select word, neighbour, {sql_round('sim')} as sim, place from fan")
+@C.query(f"with {_NEAR} select word, neighbour, sim, place from fan")
 def nearest_cues(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: counts, PPMI, cosine and the five nearest cues of each cue (W8 over M5)."""
     near = _near_cues(_cells(spark, d, _words(spark, d)), 5)
