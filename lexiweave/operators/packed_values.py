@@ -31,10 +31,17 @@ class WordMap:
 
     def __init__(self, bits: np.ndarray) -> None:
         self.packed = bits
+        self.seen: dict[str, bool] = {}
 
     def __call__(self, word: str) -> bool:
-        a, b = word_bits(word)
-        return bool(self.packed[a >> 3] >> (a & 7) & 1 and self.packed[b >> 3] >> (b & 7) & 1)
+        known = self.seen.get(word)
+        if known is None:
+            a, b = word_bits(word)
+            known = bool(self.packed[a >> 3] >> (a & 7) & 1 and self.packed[b >> 3] >> (b & 7) & 1)
+            if len(self.seen) > 100_000:
+                self.seen.clear()
+            self.seen[word] = known
+        return known
 
 
 def _row(field: str, rec_id, cue, text, got, candidates=None) -> tuple:
