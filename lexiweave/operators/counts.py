@@ -1,7 +1,10 @@
 """Cue by response counts, PPMI and the sparse cosine between cues."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 
 def count_pairs(rows: DataFrame, *by: str) -> DataFrame:
@@ -44,16 +47,64 @@ def unit_rows(cells: DataFrame, weight: str, *by: str) -> DataFrame:
     return cells.where(F.col(weight) != 0).join(lengths, [*by, "cue"]).select(*by, "cue", "response", (F.col(weight) / F.col("length")).alias("w"))
 
 
-def cosine_pairs(cells: DataFrame, weight: str, *by: str) -> DataFrame:
+#: Cues of one block of a product, responses that are made dense at a time, and cells of one task.
+BLOCK_CUES, DENSE_RESPONSES, TASK_CELLS = 1_024, 2_048, 1_000_000
+
+
+def _block_product(by: list[str], kinds: dict):
+    def product(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        responses, r = np.unique(rows.response.to_numpy(), return_inverse=True)
+        sides = []
+        same = key[0] == key[1]
+        for side in (0, 0) if same else (0, 1):
+            own = (rows.side == side).to_numpy()
+            cues, c = np.unique(rows.cue.to_numpy()[own], return_inverse=True)
+            order = np.argsort(r[own], kind="stable")
+            sides.append((cues, c[order], r[own][order], rows.w.to_numpy()[own][order]))
+        (ca, ia, ra, wa), (cb, ib, rb, wb) = sides
+        sims, met = np.zeros((len(ca), len(cb))), np.zeros((len(ca), len(cb)), bool)
+        for at in range(0, len(responses), DENSE_RESPONSES):
+            dense = []
+            for cues, i, rr, w in sides:
+                lo, hi = np.searchsorted(rr, at), np.searchsorted(rr, at + DENSE_RESPONSES)
+                m = np.zeros((len(cues), min(DENSE_RESPONSES, len(responses) - at)))
+                m[i[lo:hi], rr[lo:hi] - at] = w[lo:hi]
+                dense.append(m)
+            sims += dense[0] @ dense[1].T
+            met |= ((dense[0] != 0).astype(np.float32) @ (dense[1] != 0).astype(np.float32).T) > 0
+        keep_i, keep_j = np.nonzero(met)
+        left, right, sim = ca[keep_i], cb[keep_j], sims[keep_i, keep_j]
+        other = left != right
+        if same:
+            other &= left < right
+        left, right, sim = left[other], right[other], sim[other]
+        swap = left > right
+        out = pd.DataFrame({"cue_i": np.where(swap, right, left), "cue_j": np.where(swap, left, right), "sim": sim})
+        for k, v in zip(by, key[3:]):
+            out[k] = pd.Series([v] * len(out), dtype=kinds[k])
+        return out[[*by, "cue_i", "cue_j", "sim"]]
+
+    return product
+
+
+def cosine_pairs(cells: DataFrame, weight: str, *by: str, block: int = BLOCK_CUES, task_cells: int = TASK_CELLS) -> DataFrame:
     """by..., cue_i < cue_j, sim of all pairs of cues that share a response (the others are 0).
 
-    Rows are normalised before the self-join on the response, which keeps cue_i < cue_j only.
+    Rows are normalised first. Cues are parted into blocks and responses into slices; each pair of
+    blocks is a matrix product per slice, and the slices are summed up. So a response that most cues
+    share is one more column of the products, and its pairs of cues are never listed.
     """
     w = unit_rows(cells, weight, *by)
-    a = w.select(*by, F.col("cue").alias("cue_i"), "response", F.col("w").alias("wi"))
-    b = w.select(*by, F.col("cue").alias("cue_j"), "response", F.col("w").alias("wj"))
-    both = a.join(b, [*by, "response"]).where("cue_i < cue_j")
-    return both.groupBy(*by, "cue_i", "cue_j").agg(F.sum(F.col("wi") * F.col("wj")).alias("sim"))
+    n = w.agg(F.count(F.lit(1)).alias("cells"), F.approx_count_distinct("cue", 0.02).alias("cues")).first()
+    blocks, slices = max(1, -(-n["cues"] // block)), max(1, -(-n["cells"] // task_cells))
+    own = F.pmod(F.xxhash64("cue", F.lit(1)), F.lit(blocks)).cast("int")
+    placed = w.select(*by, "cue", "response", "w", own.alias("own"), F.pmod(F.xxhash64("response"), F.lit(slices)).cast("int").alias("slice"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    keyed = met.select(*by, F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "slice", (F.col("own") > F.col("other")).cast("int").alias("side"), "cue", "response", "w")
+    schema = StructType([*w.select(*by).schema.fields, *(StructField(c, StringType()) for c in ("cue_i", "cue_j")), StructField("sim", DoubleType())])
+    product = _block_product(list(by), {c: "object" for c in by})
+    parts = keyed.groupBy("bi", "bj", "slice", *by).applyInPandas(product, schema)
+    return parts.groupBy(*by, "cue_i", "cue_j").agg(F.sum("sim").alias("sim"))
 
 
 def both_ways(pairs: DataFrame, i: str = "cue_i", j: str = "cue_j") -> DataFrame:

@@ -113,7 +113,7 @@ def _near_cues(cells: DataFrame, k: int) -> DataFrame:
 def nearest_cues(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: counts, PPMI, cosine and the five nearest cues of each cue (W8 over M5)."""
     near = _near_cues(_cells(spark, d, _words(spark, d)), 5)
-    return near.select("word", "neighbour", F.round("sim", 5).alias("sim"), F.col("place").cast("long").alias("place"))
+    return near.select("word", "neighbour", "sim", F.col("place").cast("long").alias("place"))
 
 
 _EMB = """

@@ -77,6 +77,17 @@ def test_ppmi_and_cosine(spark):
     assert N.cosine_pairs(N.ppmi(c), "ppmi").count() == 0 and N.ppmi(c.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("block", "cells"), [(1024, 1_000_000), (5, 40), (1, 10)])
+def test_cosine_blocks_against_numpy(spark, block, cells):
+    rng = np.random.default_rng(block)
+    m = rng.integers(0, 3, size=(2, 17, 11)).astype(float)
+    rows = [(f"m{k}", f"c{i:02d}", f"r{j}", float(m[k, i, j])) for k in range(2) for i in range(17) for j in range(11) if m[k, i, j]]
+    got = {(r.model, r.cue_i, r.cue_j): r.sim for r in N.cosine_pairs(spark.createDataFrame(rows, "model string, cue string, response string, w double"), "w", "model", block=block, task_cells=cells).collect()}
+    u = m / np.linalg.norm(m, axis=2, keepdims=True)
+    want = {(f"m{k}", f"c{i:02d}", f"c{j:02d}"): u[k, i] @ u[k, j] for k in range(2) for i in range(17) for j in range(i + 1, 17) if (m[k, i] * m[k, j]).any()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_pair_numbers(spark):
     got = [tuple(r) for r in spark.range(6).select(*pair_of_index(F.col("id"), F.lit(4).cast("long"))).collect()]
     assert got == [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
