@@ -3,13 +3,16 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed value: white space, the same set for every engine (Java's and RE2's \\s are ASCII only).
+#: White space, the same set for every engine (Java's and RE2's \\s are ASCII only).
 WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
+WS_CHARACTERS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(WS_CHARACTERS))
 
 
 def squeeze(c: Column) -> Column:
@@ -18,9 +21,11 @@ def squeeze(c: Column) -> Column:
 
 
 def clean(c: Column) -> Column:
-    """Stripped and in lower case; null for '', na, nan and texts without a letter or digit."""
-    s = F.lower(strip(c))
-    return F.when(~s.isin("", "na", "nan") & s.rlike(r"[\p{L}\p{N}]"), s)
+    """Stripped and in lower case; null for '', na, nan and texts without a letter or digit.
+
+    One expression that names its input once: filters on it repeat it, so it had better be cheap.
+    """
+    return F.nullif(F.regexp_extract(F.lower(strip(c)), r"(?s)^(?!nan?$).*[\p{L}\p{N}].*$", 0), F.lit(""))
 
 
 def split_list(c: Column) -> Column:

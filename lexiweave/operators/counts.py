@@ -2,7 +2,7 @@
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -51,7 +51,17 @@ def unit_rows(cells: DataFrame, weight: str, *by: str) -> DataFrame:
 BLOCK_CUES, DENSE_RESPONSES, TASK_CELLS = 1_024, 2_048, 1_000_000
 
 
-def _block_product(by: list[str], kinds: dict):
+def _best_of(names: np.ndarray, others: np.ndarray, sims: np.ndarray, k: int) -> pd.DataFrame:
+    """word, neighbour, sim of the k largest of each row; others are in text order, so ties go to the smaller."""
+    top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+    row = np.repeat(np.arange(len(names)), top.shape[1])
+    out = pd.DataFrame({"word": names[row], "neighbour": others[top.ravel()], "sim": sims[row, top.ravel()]})
+    return out[np.isfinite(out.sim)]
+
+
+def _block_product(by: list[str], best: int | None = None):
+    """All pairs of two blocks that share a response; with best, only each cue's nearest in the other block."""
+
     def product(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         responses, r = np.unique(rows.response.to_numpy(), return_inverse=True)
         sides = []
@@ -72,6 +82,14 @@ def _block_product(by: list[str], kinds: dict):
                 dense.append(m)
             sims += dense[0] @ dense[1].T
             met |= ((dense[0] != 0).astype(np.float32) @ (dense[1] != 0).astype(np.float32).T) > 0
+        if best is not None:
+            sims = np.where(met, np.round(sims, 9), -np.inf)
+            if same:
+                np.fill_diagonal(sims, -np.inf)
+            out = pd.concat([_best_of(ca, cb, sims, best)] + ([] if same else [_best_of(cb, ca, sims.T, best)]))
+            for k, v in zip(by, key[3:]):
+                out[k] = pd.Series([v] * len(out), dtype="object", index=out.index)
+            return out[[*by, "word", "neighbour", "sim"]]
         keep_i, keep_j = np.nonzero(met)
         left, right, sim = ca[keep_i], cb[keep_j], sims[keep_i, keep_j]
         other = left != right
@@ -81,19 +99,14 @@ def _block_product(by: list[str], kinds: dict):
         swap = left > right
         out = pd.DataFrame({"cue_i": np.where(swap, right, left), "cue_j": np.where(swap, left, right), "sim": sim})
         for k, v in zip(by, key[3:]):
-            out[k] = pd.Series([v] * len(out), dtype=kinds[k])
+            out[k] = pd.Series([v] * len(out), dtype="object")
         return out[[*by, "cue_i", "cue_j", "sim"]]
 
     return product
 
 
-def cosine_pairs(cells: DataFrame, weight: str, *by: str, block: int = BLOCK_CUES, task_cells: int = TASK_CELLS) -> DataFrame:
-    """by..., cue_i < cue_j, sim of all pairs of cues that share a response (the others are 0).
-
-    Rows are normalised first. Cues are parted into blocks and responses into slices; each pair of
-    blocks is a matrix product per slice, and the slices are summed up. So a response that most cues
-    share is one more column of the products, and its pairs of cues are never listed.
-    """
+def _blocks(cells: DataFrame, weight: str, by: tuple[str, ...], block: int, task_cells: int) -> tuple[DataFrame, int]:
+    """Unit rows keyed by pair of blocks and slice of responses, and the number of slices."""
     w = unit_rows(cells, weight, *by)
     n = w.agg(F.count(F.lit(1)).alias("cells"), F.approx_count_distinct("cue", 0.02).alias("cues")).first()
     blocks, slices = max(1, -(-n["cues"] // block)), max(1, -(-n["cells"] // task_cells))
@@ -101,12 +114,41 @@ def cosine_pairs(cells: DataFrame, weight: str, *by: str, block: int = BLOCK_CUE
     placed = w.select(*by, "cue", "response", "w", own.alias("own"), F.pmod(F.xxhash64("response"), F.lit(slices)).cast("int").alias("slice"))
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     keyed = met.select(*by, F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "slice", (F.col("own") > F.col("other")).cast("int").alias("side"), "cue", "response", "w")
-    schema = StructType([*w.select(*by).schema.fields, *(StructField(c, StringType()) for c in ("cue_i", "cue_j")), StructField("sim", DoubleType())])
-    product = _block_product(list(by), {c: "object" for c in by})
-    parts = keyed.groupBy("bi", "bj", "slice", *by).applyInPandas(product, schema)
+    return keyed, slices
+
+
+def _pair_schema(df: DataFrame, by: tuple[str, ...], left: str, right: str) -> StructType:
+    return StructType([*df.select(*by).schema.fields, StructField(left, StringType()), StructField(right, StringType()), StructField("sim", DoubleType())])
+
+
+def cosine_pairs(cells: DataFrame, weight: str, *by: str, block: int = BLOCK_CUES, task_cells: int = TASK_CELLS) -> DataFrame:
+    """by..., cue_i < cue_j, sim of all pairs of cues that share a response (the others are 0).
+
+    Rows are normalised first. Cues are parted into blocks and responses into slices; each pair of
+    blocks is a matrix product per slice, and the slices are summed up. So a response that most cues
+    share is one more column of the products, and its pairs of cues are never listed.
+    """
+    keyed, _ = _blocks(cells, weight, by, block, task_cells)
+    parts = keyed.groupBy("bi", "bj", "slice", *by).applyInPandas(_block_product(list(by)), _pair_schema(keyed, by, "cue_i", "cue_j"))
     return parts.groupBy(*by, "cue_i", "cue_j").agg(F.sum("sim").alias("sim"))
 
 
+def nearest_by_cosine(cells: DataFrame, weight: str, k: int, *by: str, block: int = BLOCK_CUES, task_cells: int = TASK_CELLS) -> DataFrame:
+    """by..., word, neighbour, sim (to 9 digits), place: the k nearest cues of each cue that share a response with it.
+
+    Ties go to the smaller neighbour. While one slice holds all responses, each product hands on only
+    the k best of its cues; else the slices' sums are needed first.
+    """
+    keyed, slices = _blocks(cells, weight, by, block, task_cells)
+    if slices == 1:
+        parts = keyed.groupBy("bi", "bj", "slice", *by).applyInPandas(_block_product(list(by), k), _pair_schema(keyed, by, "word", "neighbour"))
+    else:
+        pairs = cosine_pairs(cells, weight, *by, block=block, task_cells=task_cells).withColumn("sim", F.round("sim", 9))
+        parts = both_ways(pairs).withColumnsRenamed({"cue_i": "word", "cue_j": "neighbour"})
+    w = Window.partitionBy(*by, "word").orderBy(F.col("sim").desc(), "neighbour")
+    return parts.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
 def both_ways(pairs: DataFrame, i: str = "cue_i", j: str = "cue_j") -> DataFrame:
     """Every pair in both directions."""
     return pairs.unionByName(pairs.withColumnsRenamed({i: "_x", j: i}).withColumnRenamed("_x", j))

@@ -103,16 +103,10 @@ _NEAR = f"""{_CELLS}, {_sql_cos('ppmi')}, bw as (select cue_i as word, cue_j as
 fan as (select word, neighbour, sim, row_number() over (partition by word order by sim desc, neighbour) as place from bw qualify place <= 5)"""
 
 
-def _near_cues(cells: DataFrame, k: int) -> DataFrame:
-    both = N.both_ways(N.cosine_pairs(cells, "ppmi")).select(F.col("cue_i").alias("word"), F.col("cue_j").alias("neighbour"), F.round("sim", 9).alias("sim"))
-    w = Window.partitionBy("word").orderBy(F.col("sim").desc(), "neighbour")
-    return both.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
-
-
 @C.query(f"with {_NEAR} select word, neighbour, sim, place from fan")
 def nearest_cues(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: counts, PPMI, cosine and the five nearest cues of each cue (W8 over M5)."""
-    near = _near_cues(_cells(spark, d, _words(spark, d)), 5)
+    near = N.nearest_by_cosine(_cells(spark, d, _words(spark, d)), "ppmi", 5)
     return near.select("word", "neighbour", "sim", F.col("place").cast("long").alias("place"))
 
 
@@ -264,7 +258,7 @@ def nn_overlap_at_k(spark: SparkSession, d: str) -> DataFrame:
     words = _common(spark, d)
     hidden = stored(centred(_hidden(spark, d, words), "model", "layer").withColumnRenamed("idx", "word"), "hidden")
     mine = nearest(hidden.where("layer >= 1"), 5, "model", "layer")
-    theirs = _near_cues(_cells(spark, d, words), 5).join(words.select("word", "idx"), "word").join(words.select(F.col("word").alias("neighbour"), F.col("idx").alias("jdx")), "neighbour")
+    theirs = N.nearest_by_cosine(_cells(spark, d, words), "ppmi", 5).join(words.select("word", "idx"), "word").join(words.select(F.col("word").alias("neighbour"), F.col("idx").alias("jdx")), "neighbour")
     out = overlap_at_k(mine, theirs.select(F.col("idx").alias("word"), F.col("jdx").alias("neighbour")), words, 5, "model", "layer")
     return out.select("model", F.col("layer").cast("long").alias("layer"), r6(F.col("overlap")).alias("overlap"))
 

@@ -86,6 +86,12 @@ def test_cosine_blocks_against_numpy(spark, block, cells):
     u = m / np.linalg.norm(m, axis=2, keepdims=True)
     want = {(f"m{k}", f"c{i:02d}", f"c{j:02d}"): u[k, i] @ u[k, j] for k in range(2) for i in range(17) for j in range(i + 1, 17) if (m[k, i] * m[k, j]).any()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    near = N.nearest_by_cosine(spark.createDataFrame(rows, "model string, cue string, response string, w double"), "w", 3, "model", block=block, task_cells=cells)
+    both = {}
+    for (k, a, b), s in want.items():
+        both.setdefault((k, a), []).append((-round(s, 9), b))
+        both.setdefault((k, b), []).append((-round(s, 9), a))
+    assert {(r.model, r.word, r.place): r.neighbour for r in near.collect()} == {(*k, p + 1): b for k, l in both.items() for p, (_, b) in enumerate(sorted(l)[:3])}
 
 
 def test_pair_numbers(spark):
