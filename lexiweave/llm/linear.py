@@ -11,15 +11,15 @@ def train(features: list[np.ndarray], target: np.ndarray, width: int, *, seed: i
     sizes = np.array([len(f) for f in features])
     for _ in range(epochs):
         for rows in np.array_split(rng.permutation(len(features)), max(1, len(features) // 64)):
-            flat = np.concatenate([features[r] for r in rows])
-            at = np.repeat(np.arange(len(rows)), sizes[rows])
-            z = np.bincount(at, w[flat], len(rows)) + w[-1]
+            used, at = np.unique(np.concatenate([features[r] for r in rows]), return_inverse=True)
+            row = np.repeat(np.arange(len(rows)), sizes[rows])
+            z = np.bincount(row, w[used][at], len(rows)) + w[-1]
             g = (1 / (1 + np.exp(-z)) - target[rows]) / len(rows)
-            grad = np.bincount(flat, g[at], width + 1)
-            grad[-1] = g.sum()
-            grad += 1e-5 * w
-            squares += grad**2
-            w -= step * grad / np.sqrt(squares)
+            grad = np.bincount(at, g[row], len(used)) + 1e-5 * w[used]  # only weights of this batch move
+            squares[used] += grad**2
+            w[used] -= step * grad / np.sqrt(squares[used])
+            squares[-1] += g.sum() ** 2
+            w[-1] -= step * g.sum() / np.sqrt(squares[-1])
     return w
 
 
