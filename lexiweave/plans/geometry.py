@@ -155,6 +155,17 @@ def embedding_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     return near.select("word", "neighbour", F.col("place").cast("long").alias("place"))
 
 
+_RAW = f"{_EMB}, lr as (select vec_id, sqrt(sum(x * x)) as len from e0 group by 1), ur as (select vec_id as w, list(x / greatest(len, 1e-12) order by p) as v from e0 join lr using (vec_id) group by 1)"
+
+
+@C.query(f"""with {_RAW}, s as (select a.w as word, b.w as neighbour, round(list_dot_product(a.v, b.v), 12) as sim from ur a join ur b on a.w <> b.w)
+    select word, neighbour, place from (select *, row_number() over (partition by word order by sim desc, neighbour) as place from s) where place <= 3""")
+def static_geometry(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest vectors of a static space, at unit length without centring."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("word"), normalized(F.col("embedding").cast("array<double>")).alias("vec"))
+    return nearest(stored(v, "static"), 3).select("word", "neighbour", F.col("place").cast("long").alias("place"))
+
+
 @C.query("""with w as (select count(distinct vec_id) as n from embeddings), k as (select unnest(generate_series(0, least(9999, n * (n - 1) // 2 - 1))) as t, n from w),
     p as (select t, n, (t::hugeint * (2147483647 % (n * (n - 1) // 2)) + 7) % (n * (n - 1) // 2) as k from k),
     g as (select *, floor(((2 * n - 1) - sqrt(((2 * n - 1) * (2 * n - 1) - 8 * k)::double)) / 2)::bigint as g from p),

@@ -241,4 +241,36 @@ def cue_shuffle(spark: SparkSession, d: str) -> DataFrame:
     return pool.withColumn("place", F.row_number().over(w).cast("long")).where("place <= 16").select("cue", "word", "place")
 
 
+@C.query("select event_type, count(*) as n, round(avg(value), 6) + 0.0 as mean_value from events where event_type in ('click', 'view', 'error') group by 1")
+def in_list_filter(spark: SparkSession, d: str) -> DataFrame:
+    """rows of the listed types only; the list reaches the scan."""
+    e = table(spark, d, "events", "event_type", "value").where(F.col("event_type").isin("click", "view", "error"))
+    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("value")).alias("mean_value"))
+
+
+@C.query(r"""select fa_id, try_cast(regexp_extract(run_file, '_(?:run|probe)0*(\d+)_', 1) as bigint) as run_no, seed from fa_raw
+    where lower(coalesce(cue_word, '')) <> 'cue_word' and try_cast(regexp_extract(run_file, '_(?:run|probe)0*(\d+)_', 1) as bigint) is not null and seed is not null""")
+def numeric_coercion(spark: SparkSession, d: str) -> DataFrame:
+    """numbers out of text, without stray header rows and rows whose keys are no numbers."""
+    t = table(spark, d, "fa_raw", "fa_id", "run_file", "cue_word", "seed").where(F.lower(F.coalesce("cue_word", F.lit(""))) != "cue_word")
+    run = F.regexp_extract("run_file", r"_(?:run|probe)0*(\d+)_", 1).try_cast("long")
+    return t.select("fa_id", run.alias("run_no"), "seed").where("run_no is not null and seed is not null")
+
+
+@C.query(f"""select word, row_number() over (order by word) as index from (select distinct lower(lemma) as word from vocabulary where lemma is not null) where word in (select {sql_clean("input_word")} from fc_raw)""")
+def aligned_words(spark: SparkSession, d: str) -> DataFrame:
+    """Words of two sources in text order, numbered from 1."""
+    fc = table(spark, d, "fc_raw", "input_word").select(clean(F.col("input_word")).alias("word"))
+    v = table(spark, d, "vocabulary", "lemma").where("lemma is not null").select(F.lower("lemma").alias("word")).distinct()
+    return dense_index(v.join(fc, "word", "left_semi"), ["word"]).select("word", "index")
+
+
+@C.query("""select user_id, event_id, place from (select user_id, event_id, row_number() over (partition by user_id order by case when event_id % 10 = 0 then '-inf'::double else value end desc, event_id) as place from events) where place <= 3""")
+def nan_last_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The three largest values per key, where an undefined value (NaN, here every tenth) counts as the smallest."""
+    e = table(spark, d, "events", "user_id", "event_id", "value").withColumn("value", F.when(F.col("event_id") % 10 == 0, F.lit(float("nan"))).otherwise(F.col("value")))
+    top = first_n_per_key(e, "user_id", 3, F.nanvl("value", F.lit(float("-inf"))).desc(), F.col("event_id").asc())
+    return top.select("user_id", "event_id", F.col("place").cast("long").alias("place"))
+
+
 QUERIES, SQL = C.queries, C.sql

@@ -1,6 +1,8 @@
 """Result files as tables: readers with explicit schemas, columns out of names and paths, the latest of several versions, sinks."""
 
+import re
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,6 +38,42 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).option("sep", separator(path)).csv(path).columns
 
 
+def column_key(name: str) -> str:
+    """A column name in lower case, without blanks and underscores."""
+    return re.sub(r"[\s_]+", "", name.lower())
+
+
+def resolve(columns: Sequence[str], *wanted: str, prefix: bool = False) -> str:
+    """The first column that is one of the wanted names (by column_key), else, with prefix, that begins with one; KeyError if none does."""
+    keys = {column_key(c): c for c in reversed(columns)}
+    for w in map(column_key, wanted):
+        if w in keys:
+            return keys[w]
+    for w in map(column_key, wanted) if prefix else ():
+        for c in columns:
+            if column_key(c).startswith(w):
+                return c
+    raise KeyError(f"none of {wanted} is in {list(columns)}")
+
+
+def outside_folders(df: DataFrame, *folders: str) -> DataFrame:
+    """Rows whose file lies in none of the folders, such as 01_summary and 99_old."""
+    return df.where(~F.arrays_overlap(F.split(F.col("_metadata.file_path"), "/"), F.array(*map(F.lit, folders))))
+
+
+def date_tag(day: date | None = None) -> str:
+    """Today, or the given day, as yyyymmdd for names of outputs."""
+    return (day or date.today()).strftime("%Y%m%d")
+
+
+def job_slice(items: Sequence, index: int, count: int) -> list:
+    """The index-th of `count` contiguous slices of a list of targets; the last takes the rest."""
+    if not 0 <= index < count:
+        raise ValueError("index must be from 0 to count - 1")
+    size = len(items) // count
+    return list(items[index * size : None if index == count - 1 else (index + 1) * size])
+
+
 def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:
     """All frames below one another; columns that one lacks are null there, metric columns take their canonical names."""
     out = None

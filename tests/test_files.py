@@ -50,3 +50,20 @@ def test_vectors_preference_union_and_sinks(spark, tmp_path):
         assert back.count() == 8
     S.write_table(have, f"{tmp_path}/p", partitions=["weighting"])
     assert spark.read.parquet(f"{tmp_path}/p").where("weighting = 'ppmi'").count() == 1
+
+
+def test_names_and_slices(spark, tmp_path):
+    import datetime
+
+    import pytest
+
+    assert S.resolve(["Pick 1", "winner_1", "nn_fa_PPMI"], "pick1") == "Pick 1" and S.resolve(["nn_fa_PPMI"], "nn_fa", prefix=True) == "nn_fa_PPMI"
+    with pytest.raises(KeyError):
+        S.resolve(["a"], "b")
+    assert S.date_tag(datetime.date(2026, 1, 22)) == "20260122"
+    assert [S.job_slice(list(range(10)), i, 3) for i in range(3)] == [[0, 1, 2], [3, 4, 5], [6, 7, 8, 9]]
+    for d in ("01_summary", "m1"):
+        (tmp_path / d).mkdir()
+        (tmp_path / d / "x.csv").write_text(f"word,sentence\n{d},x\n")
+    df = S.read_delimited(spark, str(tmp_path), S.SCHEMAS["sentences"], recursive=True)
+    assert [r.word for r in S.outside_folders(df, "01_summary", "99_old").collect()] == ["m1"]
