@@ -215,7 +215,7 @@ def is_prose(value: str, bare: bool) -> bool:
     if not bare:
         return False
     words = value.lower().replace("’", "'").split()
-    return len(words) > 3 or bool(re.search(r"[!?.]\s|[!?]$", value)) or (len(words) > 1 and any(w.strip(".,!?") in _SENTENCE for w in words)) or (len(words) == 1 and words[0] in ("i", "i'm"))
+    return len(words) > 3 or bool(re.search(r"[!?.]\s|[!?]$", value)) or (len(words) > 1 and any(w.strip(".,!?") in _SENTENCE for w in words))
 
 
 def defect(text: str | None, got: Packed, cue: str | None, candidates: list[str] | None, asked: int, known) -> str | None:
@@ -231,6 +231,8 @@ def defect(text: str | None, got: Packed, cue: str | None, candidates: list[str]
         return "copy"
     if not values:
         return "copy" if got.echo else "empty"
+    if asked == 2 and len(values) > 2 * asked and (not any(prose) if not candidates else 10 * len(set(values) & set(candidates)) >= 8 * len(set(values))):
+        return "copy"
     if any(prose):
         body = text or ""
         if _INSTRUCTION.match(body) or _INSTRUCTION.match(got.values[0]):
@@ -240,8 +242,6 @@ def defect(text: str | None, got: Packed, cue: str | None, candidates: list[str]
         return "refusal" if re.search(r"[.!?]\s*$", body) else "truncated"
     if own and set(values) == {own} and (len(values) > 1 or not got.open_end):
         return "copy"
-    if asked == 2 and len(values) > 2 * asked and (not candidates or 10 * len(set(values) & set(candidates)) >= 8 * len(set(values))):
-        return "copy"
     short = len(values) < asked and not got.closed
     if not short:
         if candidates:
