@@ -36,6 +36,8 @@ def pair_features(field: str, cue: str | None, text: str | None, candidates: lis
     values = [folded(v) for v in got.values]
     own, asked = folded(cue or ""), ASKED[field]
     prose = any(is_prose(v, b) for v, b in zip(got.values, got.bare))
+    if len(values) > 2 * asked and 2 * len(set(values) & set(candidates or ())) >= len(values):
+        prose = False  # a long list that holds an odd value is a list
     known = sum(map(use, values))
     listed = set(candidates or ())
     cut = bool(listed) and len(values) == asked and values[-1] not in listed and any(c.startswith(values[-1]) for c in listed)
@@ -44,7 +46,7 @@ def pair_features(field: str, cue: str | None, text: str | None, candidates: lis
         "none": not values and not got.echo, "echo": got.echo and not values, "echo_list": got.echo and got.label != "output" and bool(values),
         "prose": prose, "short": not prose and not only_cue and 0 < len(values) < asked, "short_open": not prose and 0 < len(values) < asked and not got.closed and not (only_cue and not got.open_end),
         "short_closed": not prose and not only_cue and 0 < len(values) < asked and got.closed, "cut_last": cut and not got.closed and not got.open_end and not prose,
-        "only_cue": only_cue and (len(values) > 1 or not got.open_end), "whole_list": asked == 2 and len(values) > 2 * asked and not prose and (not listed or 10 * len(listed & {*values}) >= 8 * len(set(values))),
+        "only_cue": only_cue and (len(values) > 1 or not got.open_end), "whole_list": asked == 2 and len(values) > 2 * asked and (not prose if not listed else 10 * len(listed & {*values}) >= 8 * len(set(values))),
         "unknown": not prose and bool(values) and known == 0 and (len(values) >= asked or got.closed) and not only_cue and not (listed & set(values)),
         "off_list": not prose and bool(listed) and bool(values) and not listed & {*values} and not any(c.startswith(values[0]) for c in listed) and len(values) >= asked and not only_cue,
         "other_script": any(ord(c) > 0x24F and c.isalpha() for v in values for c in v),
@@ -145,7 +147,8 @@ def examples(pairs: list[tuple], foreign: list[str], seed: int = 11) -> list[tup
 
 def _sample(df: DataFrame, columns: list[str], most: int, rows: int, *key: str) -> pd.DataFrame:
     share = min(1.0, 1.5 * most / max(1, rows))
-    return df.where(F.pmod(F.xxhash64(*key), F.lit(1_000_000)) < int(share * 1_000_000)).select(*columns).limit(most).toPandas()
+    hashed = df.where(F.pmod(F.xxhash64(*key), F.lit(1_000_000)) < int(share * 1_000_000)).orderBy(F.xxhash64(*key), *key)
+    return hashed.select(*columns).limit(most).toPandas()  # in one order, so that every run trains alike
 
 
 def fit(read: DataFrame, documents: DataFrame | None, known: np.ndarray, *, train_pairs: int = TRAIN_PAIRS) -> tuple[dict[str, np.ndarray], dict[str, float]]:

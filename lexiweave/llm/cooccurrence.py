@@ -3,6 +3,7 @@
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -106,9 +107,7 @@ def _pair_counter(heavy: int):
 
 
 def _wide_block(least: int):
-    def count(key: tuple, rows):  # (block i, block j): rows of item, side, records
-        import pandas as pd
-
+    def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:  # (block i, block j): rows of item, side, records
         left, right = rows[rows.side == 0], rows[rows.side == 1]
         ids = np.unique(np.concatenate([np.concatenate(rows.records.to_list()), [0]]))
 

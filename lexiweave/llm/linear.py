@@ -28,15 +28,18 @@ def score(w: np.ndarray, features: np.ndarray) -> float:
 
 
 def threshold(scores: np.ndarray, target: np.ndarray, least_precision: float = 0.98) -> float:
-    """The lowest score from which on at least `least_precision` of held-out rows are true; midway to the next lower row.
+    """Where to cut, from held-out rows: midway below the last score from which on `least_precision` of the rows are true.
 
-    Without any true row it is infinite.
+    It stays between -1 and 0 where the rows above 0 are that precise: how sure a classifier is of
+    held-out examples says little of how sure it is of others. Without any true row it is infinite.
     """
-    order = np.argsort(-scores)
+    order = np.argsort(-scores, kind="stable")
     s, t = scores[order], target[order] > 0.5
     if not t.any():
         return float("inf")
     precision = np.cumsum(t) / np.arange(1, len(t) + 1)
     good = np.flatnonzero((precision >= least_precision) & t)
     last = int(good[-1]) if len(good) else int(np.flatnonzero(t)[0])
-    return float((s[last] + s[last + 1]) / 2) if last + 1 < len(s) else float(s[last] - 1)
+    cut = float((s[last] + s[last + 1]) / 2) if last + 1 < len(s) else float(s[last] - 1)
+    above = t[s > 0]
+    return max(-1.0, min(cut, 0.0)) if len(above) and above.mean() >= least_precision else cut
