@@ -23,13 +23,13 @@ GAZETTEER_DOCS = 2
 
 # ---- candidates: wide nets; what they hold beside personal data is for the votes to throw out
 
-_EMAIL = re.compile(r"[\w.+-]*\w ?@ ?\w[\w-]*(?:\.[\w-]+)*")
+_EMAIL = re.compile(r"(?<![\w.+-])[\w.+-]*\w ?@ ?\w[\w-]*(?:\.[\w-]+)*")
 _SPELT_EMAIL = re.compile(
-    r"[\w.+-]*\w ?(?:\(at\)|\[at\]|\{at\}| AT ) ?\w[\w-]*(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot | DOT |\.) ?\w[\w-]*)+"
-    r"|[\w.+-]*\w at \w[\w.-]*(?:(?: ?\(dot\) ?| dot )\w[\w-]*)+"
+    r"(?<![\w.+-])[\w.+-]*\w ?(?:\(at\)|\[at\]|\{at\}| AT ) ?\w[\w-]*(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot | DOT |\.) ?\w[\w-]*)+"
+    r"|(?<![\w.+-])[\w.+-]*\w at \w[\w.-]*(?:(?: ?\(dot\) ?| dot )\w[\w-]*)+"
 )
 _MAYBE_SPELT = re.compile(r"[(\[{]at[)\]}]| AT | dot |[(\[{]dot[)\]}]")
-_WITH_DIGIT = re.compile(r"[^\n]*\d[^\n]*")
+_DIGIT = re.compile(r"\d")
 _NUMBER = re.compile(r"(?<![\w.,+/=-])(?:\+ ?)?\(?\d{1,5}\)?(?:(?: \(0\) ?|[ .\-/]| - )?\(?\d{1,5}\)?){0,6}(?![\w])|(?<![\w.,+/=-])\+?\d{7,15}(?!\w)")
 _CODE = re.compile(r"(?<!\w)(?:[A-Z]{1,3}[ -]?\d{2}(?:[ -]?\d{2}){1,3}(?: ?[A-Z])?|[A-Z]{1,3}-?\d{5,9}[A-Z]?|\d{7,9}-?[A-Z]|\d{3}[ -]\d{2}[ -]\d{4}|\d{9})(?!\w)")
 #: Words for streets.
@@ -79,6 +79,16 @@ def _name_candidates(text: str, given: WordMap) -> Iterator[tuple[int, int]]:
             yield tokens[k - 1].start(), e
 
 
+def _lines_with_digits(text: str) -> Iterator[tuple[int, int]]:
+    start = 0
+    while start < len(text):
+        end = text.find("\n", start)
+        end = len(text) if end < 0 else end
+        if _DIGIT.search(text, start, end):
+            yield start, end
+        start = end + 1
+
+
 def _candidates(text: str, given: WordMap) -> list[tuple[str, int, int]]:
     out: list[tuple[str, int, int]] = []
     if "@" in text:
@@ -91,7 +101,7 @@ def _candidates(text: str, given: WordMap) -> list[tuple[str, int, int]]:
     codes = {m.span() for m in _CODE.finditer(text)} | {s for s in numbers if sum(c.isdigit() for c in text[s[0] : s[1]]) in (8, 9)}
     out += [("id_number", *s) for s in codes]
     # No address is without a number, nor goes on in the next line.
-    out += [("address", *m.span()) for line in _WITH_DIGIT.finditer(text) for m in _ADDRESS.finditer(text, *line.span())]
+    out += [("address", *m.span()) for line in _lines_with_digits(text) for m in _ADDRESS.finditer(text, *line)]
     out += [("name", *s) for s in set(_name_candidates(text, given))]
     return out
 
@@ -114,7 +124,7 @@ _TLD = re.compile(r"(?:test|example|invalid|localhost|com|org|net|edu|gov|io|inf
 
 
 def _line_before(text: str, at: int, most: int = 40) -> str:
-    return text[max(text.rfind("\n", 0, at) + 1, at - most) : at]
+    return text[max(text.rfind("\n", max(0, at - most), at) + 1, at - most, 0) : at]
 
 
 def _votes(kind: str, text: str, a: int, b: int, given: WordMap, family: WordMap) -> list[int]:
