@@ -1,10 +1,15 @@
 """Comparing geometries: sampled pairs, correlation by layer, overlap of neighbours, consensus of the other models."""
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiweave.functions.vectors import dot, pearson
-from lexiweave.operators.counts import unit_rows
+from lexiweave.operators.counts import sparse_product, unit_rows
+from lexiweave.operators.lexicon import dense_index
 
 #: Fixed value: a prime above the number of pairs of 65,000 words.
 STRIDE = 2_147_483_647
@@ -74,6 +79,116 @@ def correlations(sims: DataFrame, others: dict[str, DataFrame], *by: str) -> Dat
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_pairs"), *both)
 
 
+#: Words of one block of a comparison over all pairs, and numbers that the vectors of one block may hold.
+BLOCK, BLOCK_NUMBERS = 1_024, 8_000_000
+
+
+def _pair_blocks(hidden: DataFrame, words: DataFrame, block: int) -> DataFrame:
+    """bi, bj, side and the columns of words (one row per word) with all its vectors as `vecs`, for each pair of blocks."""
+    packed = hidden.groupBy("idx").agg(F.array_sort(F.collect_list(F.struct("model", "layer", "vec"))).alias("vecs"))  # as many as models and layers
+    size = packed.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("vecs", F.lit(0), lambda s, v: s + F.size(v["vec"]))).alias("width")).first()
+    block = max(1, min(block, BLOCK_NUMBERS // max(1, size["width"] or 1)))
+    blocks = max(1, -(-size["n"] // block))
+    own = words.join(packed, "idx").withColumn("own", F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return met.withColumns({"bi": F.least("own", "other"), "bj": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")}).drop("own", "other")
+
+
+class _Blocks:
+    """The two blocks of words of one task, and the similarities of all their pairs i < j."""
+
+    def __init__(self, key: tuple, rows: pd.DataFrame) -> None:
+        same = key[0] == key[1]
+        self.sides = [rows[rows.side == s].sort_values("idx") for s in ((0, 0) if same else (0, 1))]
+        self.empty = any(not len(s) for s in self.sides)
+        if self.empty:
+            return
+        self.ids = [s.idx.to_numpy() for s in self.sides]
+        self.names = [(v["model"], v["layer"]) for v in self.sides[0].vecs.iloc[0]]
+        self.vecs = [[np.array([v[k]["vec"] for v in s.vecs]) for k in range(len(self.names))] for s in self.sides]
+        self.pairs = np.triu(np.ones((len(self.ids[0]),) * 2, bool), 1) if same else np.ones((len(self.ids[0]), len(self.ids[1])), bool)
+
+    def hidden(self) -> Iterator[tuple[tuple[str, int], np.ndarray]]:
+        for k, name in enumerate(self.names):
+            yield name, (self.vecs[0][k] @ self.vecs[1][k].T)[self.pairs]
+
+    def consensus(self) -> dict[str, np.ndarray | None]:
+        """Of each model the mean over all layers of the other models; None if there are none."""
+        own: dict[str, np.ndarray] = {}
+        count: dict[str, int] = {}
+        for (model, _), sim in self.hidden():
+            own[model] = own[model] + sim if model in own else sim
+            count[model] = count.get(model, 0) + 1
+        every, n = sum(own.values()), sum(count.values())
+        return {m: (every - own[m]) / (n - count[m]) if n > count[m] else None for m in own}
+
+    def sparse(self) -> np.ndarray:
+        cells = []
+        for s in self.sides:
+            n = s.responses.map(len).to_numpy()
+            cells.append((np.repeat(np.arange(len(s)), n), np.concatenate(s.responses.to_list()).astype(np.int64), np.concatenate(s.weights.to_list()).astype(float)))
+        out = np.concatenate([part for _, part in sparse_product(*cells, *self.pairs.shape)])
+        return out[self.pairs]
+
+    def both(self, flag: str) -> np.ndarray:
+        a, b = (s[flag].to_numpy(bool) for s in self.sides)
+        return (a[:, None] & b[None, :])[self.pairs]
+
+
+def _block_sums(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    b = _Blocks(key, rows)
+    out = []
+    if not b.empty:
+        fa, cross, valid = b.sparse(), b.consensus(), b.both("valid")
+        for (model, layer), h in b.hidden():
+            for name, x, keep in (("fa", fa, None), ("cross", cross[model], None), ("valid", fa, valid)):
+                if x is not None:
+                    u, v = (h, x) if keep is None else (h[keep], x[keep])
+                    out.append((model, layer, name, len(u), u.sum(), v.sum(), u @ u, v @ v, u @ v))
+    return pd.DataFrame(out, columns=["model", "layer", "name", "n", "h", "x", "hh", "xx", "hx"])
+
+
+def _block_consensus(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    b = _Blocks(key, rows)
+    out = [pd.DataFrame({"model": [], "i": [], "j": [], "sim": []})]
+    if not b.empty:
+        i, j = (x[b.pairs] for x in np.meshgrid(*b.ids, indexing="ij"))
+        for model, sim in b.consensus().items():
+            out.append(pd.DataFrame({"model": model, "i": np.minimum(i, j), "j": np.maximum(i, j), "sim": sim}))
+    return pd.concat(out[1:] or out)
+
+
+def all_pair_correlations(hidden: DataFrame, cells: DataFrame, weight: str, words: DataFrame, valid: DataFrame, block: int = BLOCK) -> DataFrame:
+    """model, layer, n_pairs, pearson_fa, pearson_cross, pearson_valid over all pairs of words.
+
+    hidden: model, layer, idx, vec (unit vectors; every word in every layer). cells: cue, response and weight;
+    words: idx, word; valid: idx of the words that pearson_valid looks at. Every pair of blocks of words is a task
+    that hands on counts, sums, squares and products per model and layer, so no pair is listed.
+    """
+    w = unit_rows(cells, weight).join(words.select(F.col("word").alias("cue"), "idx"), "cue")
+    ids = dense_index(w.select("response").distinct(), ["response"], "id")
+    rows = w.join(ids, "response").groupBy("idx").agg(F.collect_list(F.struct("id", "w")).alias("r"))
+    per_word = words.select("idx").join(rows, "idx", "left").join(valid.select("idx", F.lit(True).alias("valid")), "idx", "left")
+    none = F.array().cast("array<double>")
+    per_word = per_word.select(
+        "idx", F.coalesce(F.transform("r", lambda s: s["id"].cast("double")), none).alias("responses"), F.coalesce(F.transform("r", lambda s: s["w"]), none).alias("weights"), F.coalesce("valid", F.lit(False)).alias("valid")
+    )
+    kinds = ", ".join(f"{c} {t}" for c, t in hidden.select("model", "layer").dtypes)
+    parts = _pair_blocks(hidden, per_word, block).groupBy("bi", "bj").applyInPandas(_block_sums, f"{kinds}, name string, n long, h double, x double, hh double, xx double, hx double")
+    s = parts.groupBy("model", "layer", "name").agg(*[F.sum(c).alias(c) for c in ("n", "h", "x", "hh", "xx", "hx")])
+    # A constant side leaves nothing but the rounding of its squares.
+    spread = lambda a, aa: F.when(F.col(aa) - F.col(a) * F.col(a) / F.col("n") > F.col(aa) * 1e-12, F.col(aa) - F.col(a) * F.col(a) / F.col("n"))
+    r = (F.col("hx") - F.col("h") * F.col("x") / F.col("n")) / F.sqrt(spread("h", "hh") * spread("x", "xx"))
+    s = s.select("model", "layer", "name", "n", F.when(F.col("n") > 0, r).alias("r"))
+    of = lambda name: F.max(F.when(F.col("name") == name, F.col("r"))).alias(f"pearson_{name}")
+    return s.groupBy("model", "layer").agg(F.max(F.when(F.col("name") == "fa", F.col("n"))).alias("n_pairs"), of("fa"), of("cross"), of("valid"))
+
+
+def all_pair_consensus(hidden: DataFrame, words: DataFrame, block: int = BLOCK) -> DataFrame:
+    """model, i, j, sim: as consensus_sims, of all pairs i < j, by products of blocks."""
+    return _pair_blocks(hidden, words.select("idx"), block).groupBy("bi", "bj").applyInPandas(_block_consensus, f"model {dict(hidden.dtypes)['model']}, i long, j long, sim double")
+
+
 def overlap_at_k(left: DataFrame, right: DataFrame, words: DataFrame, k: int, *by: str) -> DataFrame:
     """by..., overlap: mean share of the k neighbours of each word that both lists hold; words without any count as 0.
 

@@ -1,5 +1,7 @@
 """Cue by response counts, PPMI and the sparse cosine between cues."""
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -149,6 +151,34 @@ def nearest_by_cosine(cells: DataFrame, weight: str, k: int, *by: str, block: in
     return parts.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
+#: Entries of a product that are held at a time.
+HELD = 4_000_000
+
+
+def sparse_product(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], n_a: int, n_b: int, held: int = HELD) -> Iterator[tuple[int, np.ndarray]]:
+    """First row, dense rows of the product of two sparse blocks (row, column, weight), some rows of a at a time.
+
+    Only the cells that meet are multiplied, so the work is that of the shared columns, however long the rows are.
+    """
+    order = np.argsort(a[0], kind="stable")
+    ia, ra, wa = (x[order] for x in a)
+    order = np.argsort(b[1], kind="stable")
+    ib, rb, wb = (x[order] for x in b)
+    lo = np.searchsorted(rb, ra, "left")
+    met = np.searchsorted(rb, ra, "right") - lo
+    starts = np.searchsorted(ia, np.arange(n_a + 1))
+    work = np.concatenate([[0], np.cumsum(met)])[starts]
+    at, most = 0, max(1, held // max(1, n_b))
+    while at < n_a:
+        end = min(n_a, at + most, max(at + 1, int(np.searchsorted(work, work[at] + held, "right")) - 1))
+        own = slice(starts[at], starts[end])
+        n = met[own]
+        right = np.repeat(lo[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        key = np.repeat((ia[own] - at) * n_b, n) + ib[right]
+        yield at, np.bincount(key, np.repeat(wa[own], n) * wb[right], (end - at) * n_b).reshape(end - at, n_b)
+        at = end
+
+
 def both_ways(pairs: DataFrame, i: str = "cue_i", j: str = "cue_j") -> DataFrame:
     """Every pair in both directions."""
     return pairs.unionByName(pairs.withColumnsRenamed({i: "_x", j: i}).withColumnRenamed("_x", j))

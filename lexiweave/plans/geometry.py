@@ -7,7 +7,7 @@ from lexiweave.functions.rules import clean
 from lexiweave.functions.vectors import normalized, normalized_by_sum
 from lexiweave.operators import counts as N
 from lexiweave.operators import overlap as O
-from lexiweave.operators.compare import consensus_sims, correlations, dense_sims, overlap_at_k, sampled_pairs, sparse_sims
+from lexiweave.operators.compare import all_pair_consensus, all_pair_correlations, consensus_sims, correlations, dense_sims, overlap_at_k, sampled_pairs, sparse_sims
 from lexiweave.operators.geometry import centred, embedding_layers, mean_vector, nearest
 from lexiweave.operators.lexicon import dense_index
 from lexiweave.operators.trials import cue_responses, forced_choice_trials, stacked_picks
@@ -17,7 +17,7 @@ from lexiweave.sources.workdir import stored
 
 C = Catalogue()
 r6 = lambda c: F.round(c, 6) + F.lit(0.0)
-#: Pairs that a comparison looks at, as the studied programs sample by default.
+#: Pairs of a sampled comparison, as the SVD and ridge programs sample by default; the RSA program takes all pairs (rsa_layerwise_all).
 PAIRS = 10_000
 
 
@@ -65,10 +65,11 @@ wrd as (select word, vr, row_number() over (order by vr, word) - 1 as idx from (
         (select lower(lemma) as word, min(vocab_rank) as vr from vocabulary where lemma is not null group by 1) v join sup using (word) where n >= 5 order by vr, word limit 5000))"""
 
 
-def _words(spark: SparkSession, d: str) -> DataFrame:
+def _words(spark: SparkSession, d: str, most: int | None = 5000) -> DataFrame:
     support = table(spark, d, "long_df", "cue_word").groupBy(clean(F.col("cue_word")).alias("word")).agg(F.count(F.lit(1)).alias("n")).where("n >= 5 and word is not null")
     v = table(spark, d, "vocabulary").where("lemma is not null").groupBy(F.lower("lemma").alias("word")).agg(F.min("vocab_rank").alias("vr"))
-    top = v.join(support, "word").orderBy("vr", "word").limit(5000).select("word", "vr")
+    top = v.join(support, "word").select("word", "vr")
+    top = top if most is None else top.orderBy("vr", "word").limit(most)
     return stored(dense_index(top, ["vr", "word"]).select("word", "vr", (F.col("index") - 1).alias("idx")), "words")
 
 
@@ -193,14 +194,15 @@ def word_split(words: DataFrame, key: str, seed: int, share: float = 0.2) -> Dat
 # ---- hidden states: embeddings whose number is a word's rank; even and odd dimensions are two models, slices are layers
 
 
-def _hidden(spark: SparkSession, d: str, words: DataFrame) -> DataFrame:
-    v = embedding_layers(table(spark, d, "embeddings")).join(F.broadcast(words.select(F.col("vr").alias("word"), "idx")), "word")  # 5,000 words at most
+def _hidden(spark: SparkSession, d: str, words: DataFrame, few: bool = True) -> DataFrame:
+    own = words.select(F.col("vr").alias("word"), "idx")
+    v = embedding_layers(table(spark, d, "embeddings")).join(F.broadcast(own) if few else own, "word")  # few: 5,000 words at most
     return v.drop("word")
 
 
-def _common(spark: SparkSession, d: str) -> DataFrame:
+def _common(spark: SparkSession, d: str, most: int | None = 5000) -> DataFrame:
     """Words that the associations and the embeddings share, idx dense again."""
-    w = _words(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").cast("int").alias("vr")), "vr", "left_semi")
+    w = _words(spark, d, most).join(table(spark, d, "embeddings").select(F.col("vec_id").cast("int").alias("vr")), "vr", "left_semi")
     return stored(dense_index(w.select("word", "vr"), ["vr", "word"]).select("word", "vr", (F.col("index") - 1).alias("idx")), "common")
 
 
@@ -254,6 +256,37 @@ def rsa_layerwise(spark: SparkSession, d: str) -> DataFrame:
     return out.select("model", F.col("layer").cast("long").alias("layer"), "n_pairs", *[r6(F.col(c)).alias(c) for c in ("pearson_fa", "pearson_cross", "pearson_valid")])
 
 
+#: All supported words instead of 5,000, PPMI over all cues, and all pairs.
+_COMMON_ALL = f"""{SQL_COUNTS}, {SQL_PPMI.replace("pp as (", "pp_all as (")}, {SQL_WORDS.replace("wrd as (", "wrd0 as (").replace(" limit 5000", "")},
+wrd as (select word, vr, row_number() over (order by vr, word) - 1 as idx from wrd0 where vr in (select vec_id from embeddings)),
+pp as (select * from pp_all where cue in (select word from wrd))"""
+_PR_ALL = """
+prs as (select a.idx as i, b.idx as j from wrd a join wrd b on a.idx < b.idx)"""
+
+
+def _sql_all(name: str) -> str:
+    return C.sql[name].replace(_COMMON, _COMMON_ALL).replace(_PR, _PR_ALL)
+
+
+@C.query(_sql_all("consensus_loo_pairs"))
+def consensus_loo_all(spark: SparkSession, d: str) -> DataFrame:
+    """consensus_loo_pairs of all pairs."""
+    words = _common(spark, d, None)
+    hidden = centred(_hidden(spark, d, words, few=False), "model", "layer").where("layer >= 1")
+    return all_pair_consensus(hidden, words).withColumn("sim", r6(F.col("sim")))
+
+
+@C.query(_sql_all("rsa_layerwise"))
+def rsa_layerwise_all(spark: SparkSession, d: str) -> DataFrame:
+    """rsa_layerwise over all pairs of all supported words, as the RSA program does by default."""
+    words = _common(spark, d, None)
+    hidden = centred(_hidden(spark, d, words, few=False), "model", "layer").where("layer >= 1")
+    cells = stored(N.ppmi(_counts(spark, d)).join(words.select(F.col("word").alias("cue")), "cue", "left_semi"), "cells")
+    valid = words.join(table(spark, d, "embeddings").where("label % 2 = 0").select(F.col("vec_id").cast("int").alias("vr")), "vr", "left_semi").select("idx")
+    out = all_pair_correlations(hidden, cells, "ppmi", words, valid)
+    return out.select("model", F.col("layer").cast("long").alias("layer"), "n_pairs", *[r6(F.col(c)).alias(c) for c in ("pearson_fa", "pearson_cross", "pearson_valid")])
+
+
 _HNEAR = """
 hnn as (select model, layer, word, neighbour from (select a.model, a.layer, a.idx as word, b.idx as neighbour, row_number() over (partition by a.model, a.layer, a.idx
         order by round(list_dot_product(a.v, b.v), 12) desc, b.idx) as place from hv a join hv b on a.model = b.model and a.layer = b.layer and a.idx <> b.idx) where place <= 5)"""

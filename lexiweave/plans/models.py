@@ -16,7 +16,7 @@ from lexiweave.operators.rounds import play
 from lexiweave.operators.svd import svd_vectors
 from lexiweave.operators.trials import forced_choice_trials, stacked_picks
 from lexiweave.plans.base import SQL_FC, Catalogue, sql_round
-from lexiweave.plans.geometry import _COMMON, _HID, _HS, _PR, PAIRS, _cells, _common, _hidden, word_split
+from lexiweave.plans.geometry import _COMMON, _COMMON_ALL, _HID, _HS, _PR, _PR_ALL, PAIRS, _cells, _common, _hidden, word_split
 from lexiweave.sources.tables import table
 from lexiweave.sources.workdir import stored
 from lexiweave.streaming.sentence_cap import run_available
@@ -104,6 +104,15 @@ def uncentered_cosine(spark: SparkSession, d: str) -> DataFrame:
     return sims.groupBy("model", F.col("layer").cast("long").alias("layer")).agg(r6(F.avg("sim")).alias("mean_sim"), F.count(F.lit(1)).alias("n_pairs"))
 
 
+@C.query(C.sql["uncentered_cosine"].replace(_COMMON, _COMMON_ALL).replace(_PR, _PR_ALL))
+def uncentered_cosine_all(spark: SparkSession, d: str) -> DataFrame:
+    """M9: the mean of uncentered_cosine over all pairs, in one pass: the square of the sum of all unit vectors less their own squares is twice the sum over pairs."""
+    unit = _hidden(spark, d, _common(spark, d, None), few=False).withColumn("vec", normalized(F.col("vec")))
+    sums = unit.select("model", "layer", F.posexplode("vec").alias("at", "x")).groupBy("model", "layer", "at").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("own"), F.count(F.lit(1)).alias("n"))
+    s = sums.groupBy("model", F.col("layer").cast("long").alias("layer")).agg(((F.sum(F.col("s") * F.col("s")) - F.sum("own")) / 2).alias("sum"), F.expr("max(n) * (max(n) - 1) div 2").alias("n_pairs"))
+    return s.where("n_pairs > 0").select("model", "layer", r6(F.col("sum") / F.col("n_pairs")).alias("mean_sim"), "n_pairs")
+
+
 @C.query(f"""with {_COMMON}, {_HID}, {_PR}, {_HS} select model, {sql_round("avg(sim)")} as mean_sim, {sql_round("stddev_pop(sim)")} as sd, count(*) as n from con group by 1""")
 def cross_feature(spark: SparkSession, d: str) -> DataFrame:
     """The cross-model feature of sampled pairs, summed up per model."""
