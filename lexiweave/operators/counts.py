@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from lexiweave.operators.lexicon import dense_index
+from lexiweave.sources.workdir import stored
+
 
 def count_pairs(rows: DataFrame, *by: str) -> DataFrame:
     """by..., cue, response, cnt over rows where both texts are there and differ."""
@@ -179,6 +182,94 @@ def sparse_product(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], n_a: in
         at = end
 
 
+#: Neighbouring columns whose largest entry is looked at first.
+RUN = 64
+
+
+def _best_columns(dense: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Columns and values (to 9 digits) of the k largest entries over 0 of each row, ties by column; -inf where there are fewer. Rows are as long as some runs."""
+    known = lambda x: np.where(x > 0, np.round(x, 9), -np.inf)
+    runs = known(dense.reshape(len(dense), -1, RUN).max(axis=2))
+    # An entry of the k best lies in one of the k best runs, as each better run holds a better entry.
+    run = np.sort(np.argsort(-runs, axis=1, kind="stable")[:, :k], axis=1)
+    columns = (run[:, :, None] * RUN + np.arange(RUN)).reshape(len(dense), -1)
+    values = known(np.take_along_axis(dense, columns, axis=1))
+    top = np.argsort(-values, axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(columns, top, axis=1), np.take_along_axis(values, top, axis=1)
+
+
+def _numbered(cells: DataFrame, weight: str, task_cells: int) -> tuple[DataFrame, DataFrame, int]:
+    """c, r, w: unit rows with cues and responses as numbers in text order; c, cue; the number of blocks of cues."""
+    w = stored(unit_rows(cells, weight), "unit-rows")
+    cues = stored(dense_index(w.select("cue").distinct(), ["cue"], "c"), "cues")
+    responses = dense_index(w.select("response").distinct(), ["response"], "r")
+    placed = stored(w.join(cues, "cue").join(responses, "response").select("c", "r", "w"), "numbered")
+    return placed, cues, max(1, -(-placed.count() // task_cells))
+
+
+def _two_blocks(placed: DataFrame, blocks: int, every: bool) -> DataFrame:
+    """bi, bj, side, c, r, w for each ordered pair of blocks, or with every false for those with bi <= bj."""
+    own = placed.withColumn("own", F.pmod(F.xxhash64("c"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    left = own.select(F.col("own").alias("bi"), F.col("other").alias("bj"), F.lit(0).alias("side"), "c", "r", "w")
+    right = own.select(F.col("other").alias("bi"), F.col("own").alias("bj"), F.lit(1).alias("side"), "c", "r", "w")
+    both = left.unionByName(right)
+    return both if every else both.where("bi <= bj")
+
+
+def _sides(rows: pd.DataFrame) -> list[tuple[np.ndarray, tuple[np.ndarray, ...]]]:
+    out = []
+    for side in (0, 1):
+        own = (rows.side == side).to_numpy()
+        ids, at = np.unique(rows.c.to_numpy()[own], return_inverse=True)
+        out.append((ids, (at, rows.r.to_numpy()[own], rows.w.to_numpy()[own])))
+    return out
+
+
+def nearest_of_all(cells: DataFrame, weight: str, k: int, *, task_cells: int = 250_000) -> DataFrame:
+    """As nearest_by_cosine, for weights of 0 and more and any number of cues: only cells of a common response are multiplied.
+
+    Each ordered pair of blocks of cues (of about task_cells cells each) is a task that hands on the k best of each cue.
+    """
+    placed, cues, blocks = _numbered(cells, weight, task_cells)
+
+    def best(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        (ia, a), (ib, b) = _sides(rows)
+        out = [pd.DataFrame({"c": ia[:0], "n": ib[:0], "sim": np.zeros(0)})]
+        for at, dense in sparse_product(a, b, len(ia), -(-len(ib) // RUN) * RUN):
+            if key[0] == key[1]:
+                row = np.arange(len(dense))
+                dense[row, at + row] = 0
+            columns, values = _best_columns(dense, k)
+            row, place = np.nonzero(np.isfinite(values))
+            out.append(pd.DataFrame({"c": ia[at + row], "n": ib[columns[row, place]], "sim": values[row, place]}))
+        return pd.concat(out)
+
+    parts = _two_blocks(placed, blocks, True).groupBy("bi", "bj").applyInPandas(best, "c long, n long, sim double")
+    w = Window.partitionBy("c").orderBy(F.col("sim").desc(), "n")
+    top = parts.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    named = top.join(cues.withColumnRenamed("cue", "word"), "c").join(cues.select(F.col("c").alias("n"), F.col("cue").alias("neighbour")), "n")
+    return named.select("word", "neighbour", "sim", "place")
+
+
+def cosine_of_all(cells: DataFrame, weight: str, *, task_cells: int = 50_000) -> DataFrame:
+    """As cosine_pairs, for weights of 0 and more and any number of cues."""
+    placed, cues, blocks = _numbered(cells, weight, task_cells)
+
+    def met(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        (ia, a), (ib, b) = _sides(rows)
+        out = [pd.DataFrame({"i": ia[:0], "j": ib[:0], "sim": np.zeros(0)})]
+        for at, dense in sparse_product(a, b, len(ia), len(ib)):
+            row, column = np.nonzero(dense)
+            i, j, sim = ia[at + row], ib[column], dense[row, column]
+            keep = i < j if key[0] == key[1] else np.ones(len(i), bool)
+            out.append(pd.DataFrame({"i": np.minimum(i, j)[keep], "j": np.maximum(i, j)[keep], "sim": sim[keep]}))
+        return pd.concat(out)
+
+    parts = _two_blocks(placed, blocks, False).groupBy("bi", "bj").applyInPandas(met, "i long, j long, sim double")
+    named = parts.join(cues.select(F.col("c").alias("i"), F.col("cue").alias("cue_i")), "i").join(cues.select(F.col("c").alias("j"), F.col("cue").alias("cue_j")), "j")
+    return named.select("cue_i", "cue_j", "sim")
+
+
 def both_ways(pairs: DataFrame, i: str = "cue_i", j: str = "cue_j") -> DataFrame:
     """Every pair in both directions."""
     return pairs.unionByName(pairs.withColumnsRenamed({i: "_x", j: i}).withColumnRenamed("_x", j))

@@ -111,6 +111,29 @@ def nearest_cues(spark: SparkSession, d: str) -> DataFrame:
     return near.select("word", "neighbour", "sim", F.col("place").cast("long").alias("place"))
 
 
+def _every_cue(spark: SparkSession, d: str) -> DataFrame:
+    return stored(N.ppmi(_counts(spark, d)), "cells")
+
+
+@C.query(C.sql["cosine_counts"].replace(_CELLS, f"{SQL_COUNTS}, {SQL_PPMI}"))
+def cosine_counts_all(spark: SparkSession, d: str) -> DataFrame:
+    """cosine_counts of all cues of the file, whether they are lemmas of the vocabulary or not."""
+    return N.cosine_of_all(_every_cue(spark, d), "cnt").withColumn("sim", r6(F.col("sim")))
+
+
+@C.query(C.sql["cosine_ppmi"].replace(_CELLS, f"{SQL_COUNTS}, {SQL_PPMI}"))
+def cosine_ppmi_all(spark: SparkSession, d: str) -> DataFrame:
+    """cosine_ppmi of all cues of the file, with the marginals of all."""
+    return N.cosine_of_all(_every_cue(spark, d), "ppmi").withColumn("sim", r6(F.col("sim")))
+
+
+@C.query(C.sql["nearest_cues"].replace(_CELLS, f"{SQL_COUNTS}, {SQL_PPMI}"))
+def nearest_cues_all(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest cues of every cue of the file, without the limit and the lemma filter of nearest_cues."""
+    near = N.nearest_of_all(_every_cue(spark, d), "ppmi", 5)
+    return near.select("word", "neighbour", "sim", F.col("place").cast("long").alias("place"))
+
+
 _EMB = """
 e0 as (select vec_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1) - 1 as p from embeddings)"""
 

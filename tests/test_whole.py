@@ -9,6 +9,7 @@ import pytest
 from test_queries import DATA, QUERIES, SQL, ordered, same
 
 from lexiweave.operators.compare import all_pair_consensus, all_pair_correlations, consensus_sims, correlations, dense_sims, sampled_pairs, sparse_sims
+from lexiweave.operators.counts import cosine_of_all, cosine_pairs, nearest_by_cosine, nearest_of_all
 
 
 def against_sql(spark, name, data=DATA):
@@ -53,3 +54,20 @@ def test_all_pairs_are_counted_beyond_the_sample(spark):
     mine = {(r.model, r.i, r.j): r.sim for r in all_pair_consensus(hidden, words, block=64).collect()}
     theirs = {(r.model, r.i, r.j): r.sim for r in consensus_sims(sims).collect()}
     assert mine.keys() == theirs.keys() and all(abs(mine[k] - theirs[k]) < 1e-9 for k in mine)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+@pytest.mark.parametrize("name", ["nearest_cues_all", "cosine_counts_all", "cosine_ppmi_all"])
+def test_all_cues_against_sql(spark, name):
+    assert len(against_sql(spark, name)) > QUERIES[name.removesuffix("_all")](spark, DATA).count()
+
+
+def test_all_cues_in_many_blocks(spark):
+    rng = np.random.default_rng(5)
+    rows = {(f"c{i:03}", f"r{r}"): float(rng.integers(1, 4)) for i in range(300) for r in rng.integers(0, 60, 4)}
+    cells = spark.createDataFrame([(c, r, w) for (c, r), w in rows.items()], "cue string, response string, cnt double")
+    key = lambda df: {(r.word, r.place): (r.neighbour, r.sim) for r in df.collect()}
+    want = key(nearest_by_cosine(cells, "cnt", 5))
+    assert key(nearest_of_all(cells, "cnt", 5, task_cells=300)) == want and len(want) == 1500
+    pairs = lambda df: {(r.cue_i, r.cue_j): round(r.sim, 9) for r in df.collect()}
+    assert pairs(cosine_of_all(cells, "cnt", task_cells=300)) == pairs(cosine_pairs(cells, "cnt"))
