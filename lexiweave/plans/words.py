@@ -8,6 +8,7 @@ from lexiweave.operators.lexicon import FRAGMENTS, balanced_group, contiguous_sh
 from lexiweave.operators.trials import association_rows, forced_choice_trials, free_association_trials, quality, stacked_picks, winners
 from lexiweave.plans.base import SQL_FA, SQL_FC, WS, Catalogue, sql_clean, sql_round, sql_strip
 from lexiweave.sources.tables import table
+from lexiweave.sources.workdir import stored
 
 C = Catalogue()
 r6 = lambda c: F.round(c, 6) + F.lit(0.0)
@@ -241,6 +242,24 @@ def cue_shuffle(spark: SparkSession, d: str) -> DataFrame:
     return pool.withColumn("place", F.row_number().over(w).cast("long")).where("place <= 16").select("cue", "word", "place")
 
 
+#: Words that are broadcast to the cues, and rows of one task of their pools.
+BROADCAST_WORDS, TASK_ROWS = 200_000, 4_000_000
+
+
+@C.query(C.sql["cue_shuffle"].replace("vocab_rank < 50 and ", "").replace(" qualify place <= 16", ""))
+def cue_shuffle_all(spark: SparkSession, d: str) -> DataFrame:
+    """For every word all other words in the order of their hashes.
+
+    The cues are spread by hash and meet the words in place, so the pools themselves are not shuffled; each is sorted on its own.
+    """
+    words = stored(table(spark, d, "vocabulary").where("word is not null").select(F.lower("word").alias("word")).distinct(), "words")
+    n = words.count()
+    cues = words.select(F.col("word").alias("cue")).repartition(max(1, -(-n * n // TASK_ROWS)), "cue")
+    pool = cues.crossJoin(F.broadcast(words) if n <= BROADCAST_WORDS else words).where("word <> cue")
+    w = Window.partitionBy("cue").orderBy(F.md5(F.concat_ws("|", F.lit("12345"), "cue", "word")), "word")
+    return pool.select("cue", "word", F.row_number().over(w).cast("long").alias("place"))
+
+
 @C.query("select event_type, count(*) as n, round(avg(value), 6) + 0.0 as mean_value from events where event_type in ('click', 'view', 'error') group by 1")
 def in_list_filter(spark: SparkSession, d: str) -> DataFrame:
     """rows of the listed types only; the list reaches the scan."""

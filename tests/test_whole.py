@@ -71,3 +71,10 @@ def test_all_cues_in_many_blocks(spark):
     assert key(nearest_of_all(cells, "cnt", 5, task_cells=300)) == want and len(want) == 1500
     pairs = lambda df: {(r.cue_i, r.cue_j): round(r.sim, 9) for r in df.collect()}
     assert pairs(cosine_of_all(cells, "cnt", task_cells=300)) == pairs(cosine_pairs(cells, "cnt"))
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_every_word_has_all_others_as_its_pool(spark):
+    rows = against_sql(spark, "cue_shuffle_all")
+    n = spark.read.parquet(f"{DATA}/vocabulary.parquet").selectExpr("lower(word) as w").where("w is not null").distinct().count()
+    assert len(rows) == n * (n - 1) and max(r[1] if isinstance(r[1], int) else r[2] for r in rows) == n - 1
