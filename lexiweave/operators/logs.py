@@ -32,7 +32,7 @@ def statistics(logs: DataFrame) -> DataFrame:
 def status(logs: DataFrame) -> DataFrame:
     """Every column of logs but text, and status (Completed, Failed, Running), the last round and the percent done."""
     t = F.col("text")
-    done = t.contains("job completed at:") | t.contains("Wrote final pools summary:")
+    done = t.contains("SLURM job completed at:") | t.contains("Wrote final pools summary:")
     failed = t.contains("Traceback (most recent call last):")
     rounds, parts = F.regexp_extract_all(t, F.lit(r"\[Round (\d+)\]"), F.lit(1)), F.regexp_extract_all(t, F.lit(r"(\d+)%"), F.lit(1))
     last = lambda a: F.get(a, F.size(a) - 1).try_cast("int")
