@@ -46,6 +46,22 @@ def df(spark, data):
     return spark.createDataFrame(data, SCHEMA)
 
 
+def test_hot_group_is_cut_in_every_range(spark, monkeypatch):
+    import lexiweave.llm.top_n as tn
+
+    kept_tables = []
+    monkeypatch.setattr(tn, "stored", lambda d, label: kept_tables.append(d.persist()) or kept_tables[-1])
+    items = spark.range(40_000).select(F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.concat(F.lit("g"), F.col("id") % 5000)).alias("g"), F.pmod(F.xxhash64("id"), F.lit(997)).alias("s"), "id")
+    got = top_n_per_group(items, ["g"], [F.col("s").desc(), F.col("id").asc()], 5000, range_rows=2000)
+    w = "row_number() over (partition by g order by s desc, id)"
+    want = items.selectExpr("*", f"{w} as place").where("place <= 5000")
+    assert want.exceptAll(got.select(*want.columns)).count() == 0 and got.count() == want.count() and got.where("g = 'hot'").count() == 5000
+    plan = got._jdf.queryExecution().toString()
+    assert "Union" in plan and "rangepartitioning" in kept_tables[0]._jdf.queryExecution().toString()
+    sizes = sorted(r["count"] for r in kept_tables[0].groupBy("_range").count().collect())
+    assert len(sizes) >= 10 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+
+
 def test_top_associations(df, data):
     runs = defaultdict(set)
     for _, r, c, _, a in kept(data):
@@ -61,13 +77,13 @@ def test_top_associations(df, data):
 def test_hot_groups_take_the_sorted_ranges(spark):
     data = [(("hot" if i % 3 == 0 else None if i % 7 == 0 else f"g{i % 40}"), i * 7919 % 1000, f"t{i % 50}") for i in range(6000)]
     items = spark.createDataFrame(data, "g string, s int, t string")
-    got = top_n_per_group(items, ["g"], [F.col("s").desc(), F.col("t").asc()], 5, heavy_rows=300, range_rows=100)
+    got = top_n_per_group(items, ["g"], [F.col("s").desc(), F.col("t").asc()], 5, heavy_times=2, range_rows=100)
     by = defaultdict(list)
     for g, s, t in data:
         by[g].append((-s, t))
     want = Counter((g, -s, t, k + 1) for g, l in by.items() for k, (s, t) in enumerate(sorted(l)[:5]))
     assert Counter(tuple(r) for r in got.select("g", "s", "t", "place").collect()) == want
-    assert "rangepartitioning" in got._jdf.queryExecution().toString()
+    assert "Union" in got._jdf.queryExecution().toString() and top_n_per_group(items, ["g"], [F.col("s").asc()], 0).count() == 0
 
 
 @pytest.mark.parametrize("range_rows", [17, 100_000])
