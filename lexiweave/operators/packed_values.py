@@ -1,153 +1,91 @@
 """Several values packed in one field: one row per value, with its place, from any mix of layouts."""
 
-import zlib
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiweave.functions.packed import Packed, defect, folded, unpack
+from lexiweave.functions.packed import A_LIST, LIST_IF_KNOWN, folded, list_reading, unpack
+from lexiweave.functions.text import fold
 from lexiweave.sources.workdir import stored
 
 #: Values an answer was asked for.
 ASKED = {"response": 5, "output": 2}
-#: Words in use are kept as two bits each in a map of this many bits: 512 kB, whatever the data.
-WORD_BITS = 1 << 22
-#: A word is in use if so many lists hold it.
-WORD_LISTS = 5
 
-READ = "field_name string, rec_id long, cue string, body string, items array<string>, bare array<boolean>, errors array<string>, closed boolean, open_end boolean, label string, echo boolean, preface string, candidates array<string>"
+READ = "field_name string, rec_id long, items array<string>, n_errors int, reading int"
+_ARROW = pa.schema([("field_name", pa.string()), ("rec_id", pa.int64()), ("items", pa.list_(pa.string())), ("n_errors", pa.int32()), ("reading", pa.int32())])
 
 
-def word_bits(word: str) -> tuple[int, int]:
-    b = word.encode("utf-8", "surrogatepass")
-    return zlib.crc32(b) % WORD_BITS, zlib.adler32(b, zlib.crc32(b, 7)) % WORD_BITS
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
 
-class WordMap:
-    """A Bloom filter of the words in use, of fixed size."""
-
-    def __init__(self, bits: np.ndarray) -> None:
-        self.packed = bits
-        self.seen: dict[str, bool] = {}
-
-    def __call__(self, word: str) -> bool:
-        known = self.seen.get(word)
-        if known is None:
-            a, b = word_bits(word)
-            known = bool(self.packed[a >> 3] >> (a & 7) & 1 and self.packed[b >> 3] >> (b & 7) & 1)
-            if len(self.seen) > 100_000:
-                self.seen.clear()
-            self.seen[word] = known
-        return known
-
-
-def _row(field: str, rec_id, cue, text, got, candidates=None) -> tuple:
-    return field, rec_id, cue, text, got.values, got.bare, got.errors, got.closed, got.open_end, got.label, got.echo, got.preface, candidates
-
-
-_READ_COLUMNS = [c.split()[0] for c in READ.split(", ")]
-
-
-def _read_fc(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
+def _read_fc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
         rows = []
-        for rec_id, cue, candidates, output in f.itertuples(index=False):
+        for rec_id, cue, candidates, output in zip(*(c.to_pylist() for c in b.columns)):
             listed = unpack(candidates, answer=False)
-            rows.append(_row("candidates", rec_id, cue, candidates, listed))
-            rows.append(_row("output", rec_id, cue, output, unpack(output, cue), [folded(v) for v in listed.values]))
-        yield pd.DataFrame(rows, columns=_READ_COLUMNS)
+            rows.append(("candidates", rec_id, listed.values, len(listed.errors), A_LIST))
+            got = unpack(output, cue)
+            rows.append(("output", rec_id, got.values, len(got.errors), list_reading(got, cue, [folded(v) for v in listed.values], ASKED["output"])))
+        if rows:
+            yield _batch(rows)
 
 
-def _read_fa(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        yield pd.DataFrame([_row("response", i, c, t, unpack(t, c)) for i, c, t in f.itertuples(index=False)], columns=_READ_COLUMNS)
+def _read_fa(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = []
+        for rec_id, cue, text in zip(*(c.to_pylist() for c in b.columns)):
+            got = unpack(text, cue)
+            rows.append(("response", rec_id, got.values, len(got.errors), list_reading(got, cue, None, ASKED["response"])))
+        if rows:
+            yield _batch(rows)
 
 
 def read_fields(fc_raw: DataFrame, fa_raw: DataFrame) -> DataFrame:
     """Every candidates, output and response text, read by the grammar of functions.packed. Null texts have no items."""
-    fc = fc_raw.select("fc_id", "input_word", "candidates", "output").mapInPandas(_read_fc, READ)
-    fa = fa_raw.select("fa_id", "cue_word", "response").mapInPandas(_read_fa, READ)
+    fc = fc_raw.select("fc_id", "input_word", "candidates", "output").mapInArrow(_read_fc, READ)
+    fa = fa_raw.select("fa_id", "cue_word", "response").mapInArrow(_read_fa, READ)
     return fc.unionByName(fa)
 
 
-_BITS = "bit int, n long"
-
+def item_words(lists: DataFrame, *keep: str) -> DataFrame:
+    """keep..., word: each different folded word of the `items` of a row."""
+    return lists.select(*keep, F.explode(F.array_distinct(F.transform("items", fold))).alias("word")).where("word <> ''")
 
-def _list_bits(known: np.ndarray | None):
-    """How many lists set each bit: candidate lists, or with known the answers that hold a known word already."""
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        use = WordMap(known) if known is not None else None
-        found: list[int] = []
-        for f in frames:
-            for items in f["items"]:
-                words = {folded(v) for v in items} - {""}
-                if use is None or any(map(use, words)):
-                    for w in words:
-                        found += word_bits(w)
-            if len(found) > 1 << 20:
-                yield _counted(found)
-                found = []
-        if found:
-            yield _counted(found)
+def words_in_use(lists: DataFrame) -> DataFrame:
+    """word: the words of candidate lists, and those of answers that mostly keep company with such words.
 
-    return count
-
-
-def _counted(found: list[int]) -> pd.DataFrame:
-    bit, n = np.unique(np.array(found, np.int64), return_counts=True)
-    return pd.DataFrame({"bit": bit, "n": n})
-
-
-def _bits_of(lists: DataFrame, known: np.ndarray | None) -> np.ndarray:
-    counted = lists.select("items").mapInPandas(_list_bits(known), _BITS).groupBy("bit").agg(F.sum("n").alias("n"))
-    bits = np.zeros(WORD_BITS, np.uint8)
-    # At most WORD_BITS numbers, whatever the data.
-    bits[counted.where(F.col("n") >= WORD_LISTS).select("bit").toPandas()["bit"].to_numpy(np.int64)] = 1
-    return np.packbits(bits, bitorder="little")
-
-
-def words_in_use(read: DataFrame) -> np.ndarray:
-    """The words of candidate lists, and those that share an answer with one of them, as a map of fixed size.
-
-    Answers in another language share no word with a candidate list, so theirs stay out.
+    lists: row (a key), field_name, items. An answer's word is in use if at least half of the answers that
+    hold it hold another word of a candidate list, too; answers of one word don't count. Words of answers
+    in another language stand among each other, even where two languages share one of them. Both counts
+    are exact and the rule is a share, so it is the same at every size.
     """
-    first = _bits_of(read.where("field_name = 'candidates'"), None)
-    return first | _bits_of(read.where("field_name <> 'candidates'"), first)
-
-
-def _mark_defects(known: np.ndarray):
-    def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        use = WordMap(known)
-        for f in frames:
-            out = []
-            for r in f.itertuples(index=False):
-                got = Packed(list(r.items), list(r.bare), list(r.errors), r.closed, r.open_end, r.label, r.echo, r.preface)
-                cand = None if r.candidates is None else list(r.candidates)
-                out.append(defect(r.body, got, r.cue, cand, ASKED[r.field_name], use))
-            yield f.assign(defect=pd.Series(out, dtype=object))
-
-    return mark
+    listed = stored(item_words(lists.where("field_name = 'candidates'")).distinct(), "words-listed")
+    words = item_words(lists.where("field_name <> 'candidates' and size(items) > 1"), "row").join(listed.withColumn("known", F.lit(1)), "word", "left")
+    answers = words.groupBy("row").agg(F.collect_list(F.struct("word", F.coalesce("known", F.lit(0)).alias("known"))).alias("w"))  # as long as the answer
+    answers = answers.where(F.size("w") > 1).select(F.explode("w").alias("w"), F.expr("aggregate(w, 0, (n, x) -> n + x.known)").alias("n_known"))
+    company = answers.groupBy("w.word").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_known") > F.col("w.known")).alias("together"))
+    return stored(listed.unionByName(company.where("2 * together >= n").select("word")).distinct(), "words-in-use")
 
 
-def with_defects(read: DataFrame, known: np.ndarray | None = None) -> DataFrame:
-    """The answers of `read` (not the candidate lists) with a column defect: the kind, or null."""
-    known = words_in_use(read) if known is None else known
-    return read.where("field_name <> 'candidates'").mapInPandas(_mark_defects(known), READ + ", defect string")
+def without_known(lists: DataFrame, words: DataFrame) -> DataFrame:
+    """row of those lists that hold no word in use."""
+    held = item_words(lists, "row").join(words.withColumn("known", F.lit(1)), "word", "left")
+    return held.groupBy("row").agg(F.max("known").alias("known")).where("known is null").select("row")
 
 
 def packed_items(fc_raw: DataFrame, fa_raw: DataFrame) -> DataFrame:
     """field_name, rec_id, item_pos (from 1), item_text, n_errors: one row per value of candidates, output and response.
 
-    Empty slots are not counted. Defective answers, null, empty and blank texts give no rows; n_errors
-    counts the text's empty slots and its unclosed quotes and brackets, which are read as bare text.
+    Empty slots are not counted. An answer that doesn't read as the list it was asked for gives no rows
+    (see functions.packed.list_reading), nor do null, empty and blank texts; n_errors counts the text's
+    empty slots and its unclosed quotes and brackets, which are read as bare text.
     """
-    read = stored(read_fields(fc_raw, fa_raw), "p7-read")
-    good = with_defects(read).where("defect is null").select("field_name", "rec_id", "items", "errors")
-    every = read.where("field_name = 'candidates'").select("field_name", "rec_id", "items", "errors").unionByName(good)
-    return every.select("field_name", "rec_id", F.size("errors").alias("n_errors"), F.posexplode("items").alias("at", "item_text")).select(
+    read = stored(read_fields(fc_raw, fa_raw).where("reading > 0").withColumn("row", F.monotonically_increasing_id()), "p7-read")
+    foreign = without_known(read.where(F.col("reading") == LIST_IF_KNOWN), words_in_use(read))
+    return read.join(foreign, "row", "left_anti").select("field_name", "rec_id", "n_errors", F.posexplode("items").alias("at", "item_text")).select(
         "field_name", "rec_id", (F.col("at") + 1).alias("item_pos"), "item_text", "n_errors"
     )

@@ -2,8 +2,10 @@
 
 import pytest
 
-from lexiweave.functions.packed import defect, folded, unpack
-from lexiweave.operators.packed_values import packed_items
+import time
+
+from lexiweave.functions.packed import A_LIST, LIST_IF_KNOWN, NO_LIST, folded, list_reading, unpack
+from lexiweave.operators.packed_values import packed_items, without_known, words_in_use
 
 CASES = [
     ("output: a, b, c.", ["a", "b", "c"]), ("dog, cat\tfox", ["dog", "cat", "fox"]), ('output: "x, y"; \'z\' | w/v', ["x, y", "z", "w", "v"]), ('"so-called ""expert""", b', ['so-called "expert"', "b"]),
@@ -26,14 +28,22 @@ def test_malformed_quote_is_flagged_and_long_text_is_read_whole():
 @pytest.mark.parametrize(
     ("text", "asked", "candidates", "kind"),
     [
-        ("", 5, None, "empty"), ("output: .", 5, None, "empty"), ("-", 2, None, "empty"), ("cue", 5, None, "copy"), ("cue, cue, cue, cue, cue.", 5, None, "copy"), ("input: cue.\noutput:", 5, None, "copy"),
-        ("Choose the two words from the list most related to cue.", 2, None, "copy"), ("candidates: a, b, c, d, e, f", 2, list("abcdef"), "copy"), ("I can't help with that.", 5, None, "refusal"),
-        ("output: a, b, c", 5, None, "truncated"), ("Okay, for cue the five", 5, None, "truncated"), ("output: a, b, c.", 5, None, None), ("I cannot say which is best, but here goes.\noutput: a, b", 2, list("ab"), None),
-        ("output: κλειδί, ρολόι", 2, list("ab"), "language"), ("output: bank, sun", 2, ["bank", "sunshine"], "truncated"), ("output: no, cannot, sorry, refuse, a", 5, None, None),
+        ("", 5, None, NO_LIST), ("output: .", 5, None, NO_LIST), ("-", 2, None, NO_LIST), ("cue", 5, None, NO_LIST), ("cue, cue, cue, cue, cue.", 5, None, NO_LIST), ("input: cue.\noutput:", 5, None, NO_LIST),
+        ("Take the two that suit cue best of all.", 2, None, NO_LIST), ("candidates: a, b, c, d, e, f", 2, list("abcdef"), NO_LIST), ("I will not say so.", 5, None, NO_LIST),
+        ("output: a, b, c", 5, None, NO_LIST), ("Well, for cue the five", 5, None, NO_LIST), ("output: a, b, c.", 5, None, LIST_IF_KNOWN), ("Hard to say.\noutput: a, b", 2, list("ab"), A_LIST),
+        ("output: κλειδί, ρολόι", 2, list("ab"), NO_LIST), ("output: bank, sun", 2, ["bank", "sunshine"], NO_LIST), ("output: no, cannot, sorry, refuse, a", 5, None, LIST_IF_KNOWN),
     ],
 )
-def test_defects(text, asked, candidates, kind):
-    assert defect(text, unpack(text, "cue"), "cue", candidates, asked, lambda w: w.isascii()) == kind
+def test_readings(text, asked, candidates, kind):
+    assert list_reading(unpack(text, "cue"), "cue", candidates, asked) == kind
+
+
+@pytest.mark.parametrize("part", ['"a, ', "'x y, ", " and ", "a and ", " ", "(", '"', "\n", "'a' ", '"a\n', "1. ", "(1) x ", "- ", "output: \n", "[a, "])
+def test_time_grows_with_the_length_only(part):
+    text = "b " + part * (200_000 // len(part)) + " c"
+    began = time.process_time()
+    unpack(text, "cue")
+    assert time.process_time() - began < 3  # under one second on an idle machine; a square would take minutes
 
 
 def test_folded_keeps_accents():
@@ -56,3 +66,11 @@ def test_items(spark):
     assert at["response", 3, 5] == "wfa" and at["output", 0, 2] == "wca"
     assert not any(k[1] in (100, 101, 200, 201) for k in at) and ("output", 102, 1) not in at
     assert packed_items(fc.limit(0), fa.limit(0)).count() == 0
+
+
+def test_words_in_use_by_company(spark):
+    lists = [(1, "candidates", ["hotel", "river", "stone"]), (2, "response", ["river", "qeva"]), (3, "response", ["hotel", "perro", "gato"]), (4, "response", ["perro", "gato"]), (5, "response", ["perro", "Gato!"]), (6, "output", ["solo"]), (7, "output", [])]
+    df = spark.createDataFrame(lists, "row long, field_name string, items array<string>")
+    words = words_in_use(df)
+    assert {r.word for r in words.collect()} == {"hotel", "river", "stone", "qeva"}
+    assert {r.row for r in without_known(df, words).collect()} == {4, 5, 6}
