@@ -1,6 +1,5 @@
 """Problem 6: prompt and response pairs whose answer is empty, cut off, declined, copied or in another language."""
 
-import random
 import re
 import zlib
 from collections.abc import Iterator
@@ -10,190 +9,197 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiweave.functions.packed import folded, is_prose, unpack
-from lexiweave.llm.linear import score, threshold, train
-from lexiweave.operators.packed_values import ASKED, WordMap, read_fields, words_in_use
+from lexiweave.functions.packed import Packed, folded, is_prose, unpack
+from lexiweave.llm.linear import Calibrated, fit_calibrated
+from lexiweave.llm.synthetic_pairs import DEFECTS, examples
+from lexiweave.operators.packed_values import ASKED, item_words, words_in_use
 from lexiweave.sources.workdir import stored
 
-DEFECTS = ("empty", "truncated", "refusal", "copy", "language")
 #: Clean answers of each pair kind that training examples are made from; a bounded sample.
-TRAIN_PAIRS = 2_500
+TRAIN_PAIRS = 1_500
 #: Posts that give words of other languages; a bounded sample.
 FOREIGN_POSTS = 1_000
-FEATURES = 1 << 16
+FEATURES = 1 << 17
+
+# ---- what an answer is to its pair: a few small facts, each with a few values
+
+_HARD_STOP, _SOFT_STOP = re.compile(r"[.!?…。！？]['\"”’)\]]?\s*$"), re.compile(r"[,;:|/、·-]\s*$")
+_TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+
+
+def _amount(n: int, asked: int) -> str:
+    return str(n) if n <= asked else "more" if n <= 2 * asked else "many"
+
+
+def _share(n: int, of: int) -> str:
+    return "-" if not of else "none" if not n else "all" if n == of else "most" if 2 * n >= of else "some"
+
+
+def relation(field: str, cue: str | None, body: str, candidates: list[str] | None, got: Packed) -> list[str]:
+    """The facts of one pair as `name=value`: how many values, how it ends, and what it shares with its cue and candidates."""
+    asked, listed = ASKED[field], set(candidates or ())
+    prose = [is_prose(v, b) for v, b in zip(got.values, got.bare)]
+    values = [folded(v) for v, p in zip(got.values, prose) if not p]
+    own, kinds = folded(cue or ""), set(values)
+    hits = kinds & listed
+    words = [folded(w) for w in _TOKEN.findall(body)] if any(prose) else []
+    named = len(set(words) & listed)
+    last = values[-1] if values and not prose[-1] else ""
+    begins = bool(last) and last not in listed and any(c.startswith(last) for c in listed)
+    return [
+        f"n={_amount(len(values), asked)}", f"prose={min(sum(prose), 3)}",
+        f"end={'hard' if _HARD_STOP.search(body) else 'soft' if _SOFT_STOP.search(body) else 'none'}", f"closed={got.closed:d}", f"open={got.open_end:d}",
+        f"label={got.label}", f"echo={got.echo:d}", f"before={bool(got.preface):d}", f"hits={_share(len(kinds & listed), len(kinds)) if listed else 'nolist'}",
+        f"back={bool(listed) and 10 * max(len(hits), named) >= 8 * len(listed):d}", f"begins={begins:d}", f"first={bool(values) and any(c.startswith(values[0]) for c in listed):d}",
+        f"own={_share(sum(v == own for v in values), len(values)) if own else '-'}{min(len(values), 2) if own in kinds else ''}", f"named={min(named, 3)}",
+        f"ownin={own in words:d}", f"script={any(ord(c) > 0x24F and c.isalpha() for v in values for c in v):d}", f"words={min(len(words), 12) // 3}",
+    ]
+
+
+#: Classes of English words that carry what a sentence does, whatever it is about.
+_CLASSES = {
+    "NOT": "no not never nothing none nor cannot can't won't don't doesn't didn't isn't aren't wasn't couldn't wouldn't shouldn't mustn't haven't unable without refuse refuses refusing refusal decline declines declining declined deny denied reject rejected impossible avoid unwilling hesitant",
+    "I": "i i'm i've i'd i'll me my mine myself we us our we're we'll", "YOU": "you your yours yourself",
+    "SORRY": "sorry apologies apologise apologize apology regret regrettably unfortunately sadly afraid forgive pardon excuse",
+    "CAN": "can could able possible comfortable allowed permitted may capable willing ability", "WANT": "want wish like prefer rather choose choosing",
+    "HELP": "help assist assistance answer answers answering reply respond response responding provide providing give giving complete completing produce comply fulfill fulfil engage discuss continue proceed share generate process handle",
+    "RULE": "policy policies rule rules guideline guidelines terms safety inappropriate appropriate harmful sensitive offensive against restricted restrictions forbidden prohibited limits scope programming instructions content",
+    "MACHINE": "ai assistant model language machine program bot computer system software", "OTHER": "another different else something instead elsewhere",
+    "COUNT": "one two three four five six several exactly single both pair", "MUST": "must should only need required each every exactly avoid never ensure",
+    "ASK": "write choose select pick give name list provide return respond enter type state tell think produce read find supply mention answer reply say use separate include consider",
+    "TASK": "word words term terms list lists candidate candidates option options input cue following below associated association associations related relate relates mind come comes output format comma commas order instruction task question",
+}
+#: Words that a sentence seldom ends with.
+_LEADING = frozenset("a an the and or but of to in on at by for with from as than that which who when where while because since if so is are was were be been being has have had would could should will can may might must do does it its they their this these those my your our each some any such like very most between among into about often usually".split())
+_CLASS = {w: c for c, words in _CLASSES.items() for w in words.split()}
+
+
+def grams(body: str, cue: str | None, candidates: list[str] | None) -> list[str]:
+    """Word n-grams of an answer in sentences, with its cue and candidates as signs; and the same of the classes of its words."""
+    listed, own = set(candidates or ()), folded(cue or "")
+    words = [w.replace("’", "'") for w in _TOKEN.findall(body.lower())]
+    words = ["<cue>" if own and folded(w) == own else "<one>" if folded(w) in listed else w for w in words]
+    kinds = [k for k in (_CLASS.get(w, w if w[0] == "<" else "NOT" if w.endswith("n't") else "") for w in words) if k]
+    out = [f"w={w}" for w in words] + [f"w={a} {b}" for a, b in zip(words, words[1:])] + [f"s={w[:5]}" for w in words if len(w) > 5]
+    out += [f"k={k}" for k in kinds] + [f"k={a} {b}" for a, b in zip(kinds, kinds[1:])] + [f"kk={a} {b}" for a in set(kinds) for b in set(kinds) if a < b]
+    first = [_CLASS.get(w, "") for w in words[:2]]
+    stop = "stop" if _HARD_STOP.search(body) else "open"
+    ends = "lead" if words and words[-1] in _LEADING else "word"
+    whole = [f"{c}={c in kinds:d}" for c in ("NOT", "I", "SORRY", "ASK", "COUNT")]
+    out += [f"ends={ends} {stop}"] + [f"{x} {stop}" for x in whole] + [f"{x} {ends}" for x in whole] + [f"{x} {y}" for i, x in enumerate(whole) for y in whole[i + 1 :]]
+    return out + [f"first={words[0] if words else ''}", f"opens={' '.join(first)}", f"closes={_CLASS.get(words[-1], '') if words else ''}", f"many={min(len(kinds), 6)}"]
+
+
+def _hash(names: list[str]) -> list[int]:
+    return sorted({zlib.crc32(n.encode("utf-8", "surrogatepass")) % FEATURES for n in names})
+
+
+def facts_features(field: str, facts: list[str]) -> list[int]:
+    """Hashed: each fact, and each pair of facts."""
+    return _hash([*facts, *(f"{field}:{x}" for x in facts), *(f"{field}:{x}&{y}" for i, x in enumerate(facts) for y in facts[i + 1 :])])
+
 
-# ---- features of one pair
+def letters(values: list[str]) -> list[str]:
+    """Letter n-grams of the words of a list none of whose words is in use."""
+    return [f"c={f'^{v}$'[i : i + 3]}" for v in map(folded, values[:8]) for i in range(max(1, len(v)))]
 
-#: Words that decline, for the pair features; n-grams learn others.
-_NO = re.compile(r"\b(?:not|no|cannot|unable|pass|polic(?:y|ies)|guidelines?|declin\w*|refus\w*|turned? down|rather|comfortable|sorry|apolog\w*|unfortunately|prevents?|allowed|skip)\b|n't\b|n’t\b", re.I)
-_ORDER = re.compile(r"(?:^|[.:\n] *)(?:please )?(?:write|choose|select|pick|give|name|list|produce|each must|do not repeat|return)\b", re.I)
 
+def known_fact(n_known: int, n_words: int) -> str:
+    return f"known={_share(n_known, n_words)}"
 
-def pair_features(field: str, cue: str | None, text: str | None, candidates: list[str] | None, use: WordMap) -> list[int]:
-    """Hashed n-grams of the answer, with the cue as one sign, and what the answer is to its cue and candidates."""
+
+def read_pair(field: str, cue: str | None, text: str | None, candidates: list[str] | None) -> tuple[list[str], list[str], list[int]]:
+    """values of the answer that are no sentences, its facts, and the hashed n-grams if it has sentences."""
     body = text or ""
     got = unpack(body, cue)
-    values = [folded(v) for v in got.values]
-    own, asked = folded(cue or ""), ASKED[field]
-    prose = any(is_prose(v, b) for v, b in zip(got.values, got.bare))
-    if len(values) > 2 * asked and 2 * len(set(values) & set(candidates or ())) >= len(values):
-        prose = False  # a long list that holds an odd value is a list
-    known = sum(map(use, values))
-    listed = set(candidates or ())
-    cut = bool(listed) and len(values) == asked and values[-1] not in listed and any(c.startswith(values[-1]) for c in listed)
-    only_cue = bool(own) and set(values) == {own}
-    facts = {
-        "none": not values and not got.echo, "echo": got.echo and not values, "echo_list": got.echo and got.label != "output" and bool(values),
-        "prose": prose, "short": not prose and not only_cue and 0 < len(values) < asked, "short_open": not prose and 0 < len(values) < asked and not got.closed and not (only_cue and not got.open_end),
-        "short_closed": not prose and not only_cue and 0 < len(values) < asked and got.closed, "cut_last": cut and not got.closed and not got.open_end and not prose,
-        "only_cue": only_cue and (len(values) > 1 or not got.open_end), "whole_list": asked == 2 and len(values) > 2 * asked and (not prose if not listed else 10 * len(listed & {*values}) >= 8 * len(set(values))),
-        "unknown": not prose and bool(values) and known == 0 and (len(values) >= asked or got.closed) and not only_cue and not (listed & set(values)),
-        "off_list": not prose and bool(listed) and bool(values) and not listed & {*values} and not any(c.startswith(values[0]) for c in listed) and len(values) >= asked and not only_cue,
-        "other_script": any(ord(c) > 0x24F and c.isalpha() for v in values for c in v),
-        "prose_no": prose and bool(_NO.search(body)), "prose_order": prose and bool(_ORDER.search(body)), "prose_open": prose and not _NO.search(body) and not re.search(r"[.!?]\s*$", body),
-    }
-    names = [k for k, v in facts.items() if v]
-    names += [f"n={min(len(values), 8)}", f"closed={got.closed}", f"open={got.open_end}", f"label={got.label}", f"known={min(known, 1) if values else -1}"]
-    names = [f"{field}:{n}" for n in names] + names
-    if prose:  # the words of a list say nothing, and are many
-        t = re.sub(r"\b" + re.escape(cue.strip()) + r"\b", "<cue>", body, flags=re.I) if cue and cue.strip() else body
-        words = re.findall(r"<cue>|[^\W_]+(?:['’][^\W_]+)?|[.!?:]", t.lower())
-        names += [f"w={w}" for w in words] + [f"ww={a} {b}" for a, b in zip(words, words[1:])] + [f"end={words[-1] if words else ''}"]
-    if not prose and values and not known:
-        names += [f"c={v[i : i + 3]}" for v in values[:asked] for i in range(max(1, len(v) - 2)) if not use(v)]
-    return sorted({zlib.crc32(n.encode("utf-8", "surrogatepass")) % FEATURES for n in names})
+    prose = [is_prose(v, b) for v, b in zip(got.values, got.bare)]
+    said = _hash(grams(body[len(got.preface) :] if got.preface and body.startswith(got.preface) else body, cue, candidates)) if any(prose) else []
+    return [v for v, p in zip(got.values, prose) if not p], relation(field, cue, body, candidates, got), said
 
 
-# ---- training examples made from clean answers
-
-#: Sentences that decline, with what may stand before and behind them.
-_REFUSALS = (
-    "I can't help with that request", "I cannot provide associations for this word", "I am unable to complete this task", "I'm not able to answer that",
-    "I do not have personal associations with {cue}", "my guidelines prevent me from answering", "that is against my policy", "such content is not allowed here",
-    "I would rather not choose between these words", "I won't list words about {cue}", "I must decline to answer", "I have to pass on this one", "no answer will be given for {cue}",
-    "I am not comfortable with '{cue}'", "I don't feel able to respond here", "it would not be appropriate for me to answer", "this request has to be turned down",
-    "I will skip {cue}, please ask me something else", "this is not something I am able to do", "that is outside what I am allowed to discuss", "I refuse to pick words for {cue}",
-)
-_BEFORE = ("", "", "Sorry, ", "I'm sorry, but ", "I apologize; ", "Apologies, ", "Unfortunately, ", "As an AI language model, ", "Hmm, ", "Thank you for asking, but ", "output: ")
-_BEHIND = (".", "!", "", ". Please try another word.", ". Is there anything else you need?", ". I hope you understand.")
-#: Beginnings of answers in sentences.
-_OPENINGS = {
-    "response": ("Sure! Here are five words that come to mind when I think of {cue}", "Okay, for {cue} the five words are", "The first words that I would associate with {cue} are these", "Certainly! My first thought is", "When hearing the word {cue}, people often think of", "Let me think about {cue} for a moment. It is usually linked with things such as", "output: The word {cue} makes me think of"),
-    "output": ("For {cue}, the best two words are", "Looking at the list, I would choose these", "output: The closest words are", "Since {cue} is the input word, the pair that fits best is", "Both of these words relate to {cue} because they are", "The two words most closely related to {cue} are", "Okay, my two picks are"),
-}
-#: Sentences of the prompts.
-_PROMPTS = {
-    "response": ("Write five single words that come to mind for the input word {cue}.", "Each must be a single word. Do not repeat the input word. input: {cue}.", "Give the first five words you think of for {cue}."),
-    "output": ("Choose the two words from the list most related to {cue}.", "Select two words from the candidates. Do not repeat the input word.", "Pick the two words that go best with {cue}."),
-}
-_EMPTY = ("", " ", "\n", "\t", "-", "...", "output:", "output: ", "output: .", "output: ,", "output: , , , ,", "Output:\n")
-_HEDGES = ("I cannot say which is best, but here goes.\n", "Sorry, I misread that.\n", "I'm sorry for the earlier mistake.\n", "Sure!\n", "Here you go:\n", "I am not sure, but here is my try.\n")
-_SCRIPTS = ((0x3B1, 0x3C9), (0x430, 0x44F), (0x4E00, 0x4FFF), (0x5D0, 0x5EA), (0x627, 0x64A), (0x3042, 0x3093))
-
-
-def _write(values: list[str], rng: random.Random, closed: bool) -> str:
-    sep = rng.choice((", ", ", ", "; ", ",", " | ", " / ", "\n"))
-    return rng.choice(("output: ", "output: ", "Output: ", "")) + sep.join(values) + ("." if closed else "")
-
-
-def examples(pairs: list[tuple], foreign: list[str], seed: int = 11) -> list[tuple]:
-    """(field, cue, text, candidates, defect or '') of synthetic pairs: for each clean pair itself, a sound variant and three broken ones."""
-    rng = random.Random(seed)
-    out = []
-    for field, cue, text, candidates, values in pairs:
-        cue, asked = cue or "", ASKED[field]
-        out.append((field, cue, text, candidates, ""))
-        sound = [_write(values[: rng.randint(max(1, asked - 2), asked)], rng, True), rng.choice(_HEDGES) + _write(values, rng, rng.random() < 0.5), _write(values, rng, False)]
-        out.append((field, cue, rng.choice(sound if field == "response" else sound[1:]), candidates, ""))
-        for kind in rng.sample(DEFECTS, 3):
-            made = cue
-            if kind == "empty":
-                made = rng.choice(_EMPTY)
-            elif kind == "refusal":
-                before = rng.choice(_BEFORE)
-                s = rng.choice(_REFUSALS).format(cue=cue)
-                made = before + (s if before and not before.endswith(": ") else s[0].upper() + s[1:]) + rng.choice(_BEHIND)
-            elif kind == "copy":
-                ways = [cue, ", ".join([cue] * asked) + ".", f"input: {cue}.", f"input: {cue}.\noutput:", rng.choice(_PROMPTS[field]).format(cue=cue), f"output: {cue}.", f"{cue}."]
-                if candidates:
-                    ways += [", ".join(candidates), f"output: {', '.join(candidates)}", f"candidates: {', '.join(candidates)}", f"input word: {cue}\ncandidates: [{', '.join(candidates)}]"]
-                if not folded(cue):
-                    ways = [w for w in ways if folded(w) and cue not in (w,)][-1:] or [rng.choice(_PROMPTS[field]).format(cue="it")]
-                made = rng.choice(ways)
-            elif kind == "language":
-                if rng.random() < 0.4 or len(foreign) < 50:
-                    a, b = rng.choice(_SCRIPTS)
-                    words = ["".join(chr(rng.randint(a, b)) for _ in range(rng.randint(2, 7))) for _ in range(asked)]
-                else:
-                    words = rng.sample(foreign, asked)
-                made = _write(words, rng, rng.random() < 0.6)
-            elif rng.random() < 0.35:
-                words = rng.choice(_OPENINGS[field]).format(cue=cue).split(" ")
-                made = " ".join(words[: rng.randint(max(2, len(words) - 3), len(words))])
-            else:  # cut within the last value that is still to come, or right behind the one before
-                n = rng.randint(0, asked - 1)
-                tail = values[n][: rng.randint(0, max(0, len(values[n]) - 2))]
-                sep = rng.choice((", ", ", ", "; ", ","))
-                made = rng.choice(("output: ", "Output: ", "")) + sep.join([*values[:n], tail])
-                if not re.search(r"\w", made.partition(":")[2] if ":" in made else made):
-                    made = f"output: {values[0]},"
-                    kind = "truncated"
-            out.append((field, cue, made, candidates, kind))
-    return out
+# ---- Spark
 
+_READ = "field_name string, rec_id long, cue string, body string, items array<string>, facts array<string>, said array<int>, candidates array<string>, sound boolean"
+_COLUMNS = [c.split()[0] for c in _READ.split(", ")]
+
+
+def _answer(field: str, rec_id, cue, text, candidates) -> tuple:
+    values, facts, said = read_pair(field, cue, text, candidates)
+    sound = not said and len(values) == ASKED[field] and (not candidates or all(folded(v) in candidates for v in values)) and "echo=0" in facts and not any(c in v for v in values for c in ",;|/")
+    return field, rec_id, cue, text, values, facts, said, candidates, sound
+
+
+def _read_fc(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        rows = []
+        for rec_id, cue, candidates, output in f.itertuples(index=False):
+            listed = unpack(candidates, answer=False).values
+            rows.append(("candidates", rec_id, None, None, listed, None, None, None, False))
+            rows.append(_answer("output", rec_id, cue, output, [folded(v) for v in listed]))
+        yield pd.DataFrame(rows, columns=_COLUMNS)
 
-# ---- Spark
 
+def _read_fa(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        yield pd.DataFrame([_answer("response", i, c, t, None) for i, c, t in f.itertuples(index=False)], columns=_COLUMNS)
 
-def _sample(df: DataFrame, columns: list[str], most: int, rows: int, *key: str) -> pd.DataFrame:
-    share = min(1.0, 1.5 * most / max(1, rows))
-    hashed = df.where(F.pmod(F.xxhash64(*key), F.lit(1_000_000)) < int(share * 1_000_000)).orderBy(F.xxhash64(*key), *key)
-    return hashed.select(*columns).limit(most).toPandas()  # in one order, so that every run trains alike
-
-
-def fit(read: DataFrame, documents: DataFrame | None, known: np.ndarray, *, train_pairs: int = TRAIN_PAIRS) -> tuple[dict[str, np.ndarray], dict[str, float]]:
-    """Weights and threshold of each defect, from synthetic examples; thresholds are set on a fifth of them that training doesn't see."""
-    use = WordMap(known)
-    clean: list[tuple] = []
-    for field, asked in ASKED.items():
-        own = read.where((F.col("field_name") == field) & (F.size("items") == asked) & ~F.col("echo"))
-        rows = own.count()
-        for r in _sample(own, ["cue", "body", "items", "bare", "candidates"], train_pairs, rows, "rec_id").itertuples(index=False):
-            values = list(r.items)
-            if any(is_prose(v, b) for v, b in zip(values, r.bare)) or sum(use(folded(v)) for v in values) * 2 < asked or any(re.search(r"[,;|/]", v) for v in values):
-                continue
-            cand = None if r.candidates is None else list(r.candidates)
-            if cand and not all(folded(v) in cand for v in values):
-                continue
-            clean.append((field, r.cue, r.body, cand, values))
-    foreign: list[str] = []
+
+def _sample(df: DataFrame, columns: list[str], most: int, *key: str) -> pd.DataFrame:
+    """At most `most` rows, by hash, so that every run trains alike."""
+    return df.orderBy(F.xxhash64(*key), *key).select(*columns).limit(most).toPandas()
+
+
+def fit(read: DataFrame, words: DataFrame, documents: DataFrame | None, *, train_pairs: int = TRAIN_PAIRS) -> Calibrated | None:
+    """Weights and calibration of each defect, from synthetic examples made of at most `train_pairs` clean pairs of each kind.
+
+    A clean pair has as many values as were asked for, half of them in use at least, and all of them in
+    the list of candidates if there is one. None where there is no clean pair.
+    """
+    spark = read.sparkSession
+    clean = [tuple(r) for field in ASKED for r in _sample(read.where((F.col("field_name") == field) & F.col("sound")), ["field_name", "cue", "body", "candidates", "items"], train_pairs, "rec_id", "row").itertuples(index=False)]
+    if not clean:
+        return None
+    clean = [(f, c, t, None if cand is None else list(cand), list(v)) for f, c, t, cand, v in clean]
+    foreign: list[tuple[str, str]] = []
     if documents is not None:
         posts = documents.where("text is not null and lang is not null and lower(trim(lang)) not like 'en%'")
-        found = {w for t in _sample(posts, ["text"], FOREIGN_POSTS, posts.count(), "doc_id")["text"] for w in re.findall(r"[^\W\d_]{3,}", t.lower())}
-        foreign = sorted(w for w in found if not use(folded(w)))
-    made = examples(clean, foreign)
-    weights, limits = {}, {}
-    if not made:
-        return {d: np.zeros(FEATURES + 1) for d in DEFECTS}, dict.fromkeys(DEFECTS, float("inf"))
-    features = [np.array(pair_features(f, c, t, cand, use), np.int64) for f, c, t, cand, _ in made]
-    held = np.array([zlib.crc32(f"{i}".encode()) % 5 == 0 for i in range(len(made))])
-    fitted, kept = [f for f, h in zip(features, held) if not h], [f for f, h in zip(features, held) if h]
-    for d in DEFECTS:
-        target = np.array([float(m[4] == d) for m in made])
-        weights[d] = train(fitted, target[~held], FEATURES)
-        limits[d] = threshold(np.array([score(weights[d], f) for f in kept]), target[held])
-    return weights, limits
-
-
-def _classify(known: np.ndarray, weights: dict[str, np.ndarray], limits: dict[str, float]):
+        for lang, t in _sample(posts, ["lang", "text"], FOREIGN_POSTS, "doc_id", "text").itertuples(index=False):
+            foreign += [(lang.strip().lower()[:2], w) for w in set(re.findall(r"[^\W\d_]{3,}", t.lower()))]
+    # Which words of the sample are in use.
+    asked = {folded(w) for _, w in foreign} | {folded(v) for *_, cand, values in clean for v in values}
+    known = {r["word"] for r in spark.createDataFrame([(w,) for w in sorted(asked)], "word string").join(words, "word", "left_semi").collect()}
+    clean = [c for c in clean if 2 * sum(folded(v) in known for v in c[4]) >= len(c[4])]
+    if not clean:
+        return None
+    made = examples(clean, sorted({(lang, w) for lang, w in foreign if folded(w) not in known}))
+    rows, kinds, families = [], [], []
+    for field, cue, text, candidates, kind, family in made:
+        values, facts, said = read_pair(field, cue, text, candidates)
+        hit = sum(folded(v) in known for v in values)
+        facts = [*facts, known_fact(hit, len(values))]
+        rows.append(facts_features(field, facts) + said + (_hash(letters(values)) if values and not hit else []))
+        kinds.append(kind)
+        families.append(family)
+    return fit_calibrated(rows, kinds, families, DEFECTS, FEATURES)
+
+
+def _classify(model: Calibrated):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        use = WordMap(known)
+        seen: dict[tuple, np.ndarray] = {}  # most answers are lists, and there are few kinds of lists
         for f in frames:
             out = []
-            for field, cue, body, candidates in zip(f["field_name"], f["cue"], f["body"], f["candidates"]):
-                x = np.array(pair_features(field, cue, body, None if candidates is None else list(candidates), use), np.int64)
-                over = max((score(weights[d], x) - limits[d], d) for d in DEFECTS)
-                out.append(over[1] if over[0] > 0 else None)
+            for field, facts, said, items, n_known in zip(f["field_name"], f["facts"], f["said"], f["items"], f["n_known"]):
+                key = (field, *facts, known_fact(int(n_known), len(items)))
+                score = seen.get(key)
+                if score is None:
+                    if len(seen) > 100_000:
+                        seen.clear()
+                    score = seen[key] = model.margins(facts_features(field, list(key[1:])))
+                if len(said):
+                    score = score + model.weights[said].sum(axis=0)
+                if len(items) and not n_known:
+                    score = score + model.weights[_hash(letters(list(items)))].sum(axis=0)
+                out.append(model.decide(score))
             yield pd.DataFrame({"field_name": f["field_name"], "rec_id": f["rec_id"], "defect": pd.Series(out, dtype=object)})
 
     return run
@@ -202,16 +208,27 @@ def _classify(known: np.ndarray, weights: dict[str, np.ndarray], limits: dict[st
 def broken_pairs(fc_raw: DataFrame, fa_raw: DataFrame, documents: DataFrame | None = None, *, train_pairs: int = TRAIN_PAIRS) -> DataFrame:
     """pair_kind (fa or fc), rec_id, defect of every defective pair: empty, truncated, refusal, copy or language.
 
-    A multi-label linear classifier on hashed n-grams and pair features, one set of weights per defect.
-    It is trained on clean answers of at most `train_pairs` pairs of each kind and on synthetic defects
-    made from them: cut off, copied, declined, emptied, and with the words swapped for those of
-    `documents` in other languages. It decides on every pair; the defect furthest above its threshold
-    counts. Without clean answers to learn from nothing is flagged. Null answers are empty; a null cue
-    or missing candidates leave out the features that need them.
+    A multi-label linear classifier. Its features are hashed n-grams of the answer, with the cue and the
+    candidates as signs, and what the answer is to its cue, its candidates and the words in use, each
+    fact alone and with each other one. It is trained on clean answers of at most `train_pairs` pairs of
+    each kind, on sound ones in other layouts and wordings, and on synthetic defects made from them: cut
+    off, copied, declined, emptied, and with the words swapped for those of `documents` in other
+    languages. Each kind is written by several families of wordings; scores become probabilities, and
+    the threshold is set, by families that training didn't see. It decides on every pair: whether there
+    is a defect, and which one is the likeliest. Without clean answers to learn from nothing is flagged. Null
+    answers are empty; a null cue or missing candidates leave out the facts that need them.
     """
-    read = stored(read_fields(fc_raw, fa_raw), "p6-read")
-    known = words_in_use(read)
-    weights, limits = fit(read, documents, known, train_pairs=train_pairs)
-    pairs = read.where("field_name <> 'candidates'").select("field_name", "rec_id", "cue", "body", "candidates")
-    marked = pairs.mapInPandas(_classify(known, weights, limits), "field_name string, rec_id long, defect string").where("defect is not null")
+    fc = fc_raw.select("fc_id", "input_word", "candidates", "output").mapInPandas(_read_fc, _READ)
+    fa = fa_raw.select("fa_id", "cue_word", "response").mapInPandas(_read_fa, _READ)
+    read = stored(fc.unionByName(fa).withColumn("row", F.monotonically_increasing_id()), "p6-read")
+    words = words_in_use(read.select("row", "field_name", "items"))
+    model = fit(read, words, documents, train_pairs=train_pairs)
+    answers = read.where("field_name <> 'candidates'").select("row", "field_name", "rec_id", "items", "facts", "said")
+    if model is None:
+        return answers.limit(0).select(F.lit("").alias("pair_kind"), "rec_id", F.lit("").alias("defect"))
+    # Of a word given twice both count, so that n_known is out of the number of items.
+    each = answers.select("row", F.posexplode("items").alias("at", "item")).withColumn("items", F.array("item"))
+    n_known = item_words(each, "row", "at").join(words, "word", "left_semi").groupBy("row").agg(F.count(F.lit(1)).alias("n_known"))
+    pairs = answers.join(n_known, "row", "left").withColumn("n_known", F.coalesce("n_known", F.lit(0)))
+    marked = pairs.select("field_name", "rec_id", "items", "facts", "said", "n_known").mapInPandas(_classify(model), "field_name string, rec_id long, defect string").where("defect is not null")
     return marked.select(F.when(F.col("field_name") == "response", "fa").otherwise("fc").alias("pair_kind"), "rec_id", "defect")

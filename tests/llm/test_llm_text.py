@@ -9,7 +9,8 @@ import pytest
 from lexiweave.llm.bpe_transducer import Encoder, Utf8Stream, decode, decode_documents, encode_documents, read_ranks
 from lexiweave.llm.broken_pairs import broken_pairs
 from lexiweave.llm.eval_leakage import leaked, passages, suffix_array, without_leaks, words
-from lexiweave.llm.linear import threshold, train
+from lexiweave.llm.linear import best_cut, fit_calibrated, platt, train
+from lexiweave.llm.word_map import known_words
 from lexiweave.llm.personal_data import find_spans, masked, personal_data, reliabilities
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -172,7 +173,31 @@ def test_linear_classifier_and_threshold():
     y = np.array([float(k % 3 == 0) for k in range(900)])
     w = train(x, y, 8)
     s = np.array([w[f].sum() + w[-1] for f in x])
-    assert ((s > threshold(s, y)) == (y > 0.5)).all() and threshold(s, y * 0) == float("inf")
+    a, b = platt(s, y)
+    p = 1 / (1 + np.exp(-(a * s + b)))
+    assert ((p > best_cut(p, y)) == (y > 0.5)).all() and best_cut(p, y * 0) == float("inf")
+    kinds = ["red" if k % 3 == 0 else "" if k % 3 == 1 else "blue" for k in range(900)]
+    rows = [[k % 3, 3 + int(rng.integers(5))] for k in range(900)]
+    model = fit_calibrated(rows, kinds, [f"f{k % 7}" for k in range(900)], ("red", "blue"), 16)
+    assert all((model.decide(model.margins(r)) or "") == k for r, k in zip(rows, kinds))
+
+
+def test_platt_gives_shares():
+    rng = np.random.default_rng(2)
+    s = rng.normal(0, 2, 20_000)
+    y = (rng.random(20_000) < 1 / (1 + np.exp(-(0.5 * s - 1)))).astype(float)
+    a, b = platt(s, y)
+    assert abs(a - 0.5) < 0.05 and abs(b + 1) < 0.08
+
+
+def test_known_words_exact_and_as_bits(spark):
+    words = spark.range(5000).selectExpr("concat('w', id) as word")
+    exact, bits = known_words(words, more=frozenset({"x"})), known_words(words, exact_words=100, more=frozenset({"x"}))
+    others = [f"u{k}" for k in range(20_000)]
+    for known in (exact, bits):
+        assert all(f"w{k}" in known for k in range(5000)) and "x" in known and known.among({"w1", "x"}) == {"w1", "x"}
+    assert not any(u in exact for u in others) and sum(u in bits for u in others) <= 0.005 * len(others)
+    assert "w" not in known_words(words.limit(0))
 
 
 def trials(spark, n=700, seed=3):
