@@ -8,6 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
+from lexiweave.sources.workdir import stored
+
+
+#: Ranges at most; beyond so many times range_rows they grow with the data, and the table of their borders doesn't.
+MOST_RANGES = 20_000
+
 
 def with_previous(df: DataFrame, group: str, order: Sequence[str], value: str, name: str, *, rows: int, range_rows: int = 200_000) -> DataFrame:
     """df with a column `name`: the `value` of the row before it within its group, null for the first.
@@ -17,7 +23,7 @@ def with_previous(df: DataFrame, group: str, order: Sequence[str], value: str, n
     of the one before, from a table of one row per partition. Rows equal in group and order stand in
     an arbitrary order; `value` must not be null.
     """
-    parts = max(1, -(-rows // range_rows))
+    parts = min(MOST_RANGES, max(1, -(-rows // range_rows)))
     keep = [c for c in df.columns if c != name]
     out = StructType([*df.select(*keep).schema.fields, StructField(name, df.schema[value].dataType), StructField("_part", IntegerType()), StructField("_first", BooleanType()), StructField("_last", BooleanType())])
 
@@ -47,7 +53,8 @@ def with_previous(df: DataFrame, group: str, order: Sequence[str], value: str, n
     seen = df.select(*keep).repartitionByRange(parts, group, *order).sortWithinPartitions(group, *order).mapInArrow(look_back, out)
     if parts == 1:
         return seen.drop("_part", "_first", "_last")
-    edges = seen.where("_first or _last")  # at most two rows a partition
+    seen = stored(seen, "ranges")  # ranges are cut by samples: both uses need the same ones
+    edges = seen.where("_first or _last")  # at most two rows a range
     w = Window.orderBy("_part", F.col("_last").cast("int"))
     joins = edges.select("_part", "_first", F.col(group).alias("g"), F.lag(group).over(w).alias("pg"), F.lag(value).over(w).alias("pv")).where("_first and g <=> pg").select(F.col("_part"), F.lit(True).alias("_first"), "pv")
     return seen.join(F.broadcast(joins), ["_part", "_first"], "left").withColumn(name, F.coalesce(F.col(name), F.col("pv"))).select(*keep, name)

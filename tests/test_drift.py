@@ -1,6 +1,8 @@
 import datetime as dt
 import json
 
+import pytest
+
 from lexiweave.operators.neighbours_in_order import with_previous
 from lexiweave.operators.schema_drift import changes, one_table
 
@@ -46,3 +48,22 @@ def test_with_previous_over_many_partitions(spark):
     df = spark.createDataFrame([(g, i, f"{g}-{i}") for g in "ab" for i in range(500)], "g string, i int, v string")
     got = with_previous(df, "g", ["i"], "v", "before", rows=1000, range_rows=37).collect()
     assert len(got) == 1000 and all(r.before == (f"{r.g}-{r.i - 1}" if r.i else None) for r in got)
+
+
+@pytest.mark.parametrize("kinds", [1, 2, 6, 7])
+def test_renames_with_few_different_values(spark, kinds):
+    lines = [{"run_idx": 1, "cue_word": f"c{k % kinds}", "tag": "x"} for k in range(12)]
+    moved = [{"run_idx": 2, "stimulus": f"c{k % kinds}", "tag": "x"} for k in range(12)]
+    other = [{"run_idx": 3, "stimulus": f"c{k % kinds}", "label": "yz"} for k in range(12)]
+    got = {tuple(r)[1:] for r in changes(_lines(spark, [(1, 1, lines), (1, 2, moved), (1, 3, other)])).collect()}
+    assert got == {("renamed", "cue_word", "stimulus"), ("removed", "tag", ""), ("added", "", "label")}
+
+
+def test_any_depth_and_two_names_in_one_line(spark):
+    deep = {"a": {"b": {"c": {"d": {"e": {"f": 1}}}}}}
+    got = {tuple(r)[1:] for r in changes(_lines(spark, [(1, 1, [{"x": 1}]), (1, 2, [{"x": 1, **deep}, {}])])).collect()}
+    assert got == {("added", "", "a.b.c.d.e.f")}
+    files = [(1, n, _file(n)) for n in range(1, 5)] + [(1, 5, [*_file(5, run="run_no"), {"run_idx": "bad", "run_no": 5}])]
+    t = one_table(_lines(spark, files))
+    row = t.where("rec_id = 41").first()
+    assert t.count() == 41 and row.run_idx == 5 and row.failed_casts == "run_idx"
