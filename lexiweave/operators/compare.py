@@ -11,31 +11,32 @@ from lexiweave.functions.vectors import dot, pearson
 from lexiweave.operators.counts import sparse_product, unit_rows
 from lexiweave.operators.lexicon import dense_index
 
-#: Fixed value: a prime above the number of pairs of 65,000 words.
-STRIDE = 2_147_483_647
-
-
 def pair_of_index(k: Column, n: Column) -> tuple[Column, Column]:
-    """The k-th pair i < j (all from 0) of n words in the order (0,1), (0,2) ... (1,2) ..."""
+    """The k-th pair i < j (all from 0) of n words in the order (0,1), (0,2) ... (1,2) ..., for up to a thousand million words."""
     two = 2 * n - 1
     guess = F.floor((two - F.sqrt((two * two - 8 * k).cast("double"))) / 2).cast("long")
-    before = lambda i: ((i * (2 * n - i - 1)) / 2).cast("long")
+    before = lambda i: F.shiftright(i * (2 * n - i - 1), 1)
     i = F.when(before(guess) > k, guess - 1).when(before(guess + 1) <= k, guess + 1).otherwise(guess)
     return i, (k - before(i) + i + 1).cast("long")
 
 
 def sampled_pairs(words: DataFrame, size: int, seed: int = 0) -> DataFrame:
-    """i < j (idx of words): `size` different pairs, all of them if there are no more; the same for the same seed.
+    """i < j (idx of words): `size` different pairs drawn uniformly, all of them if there are no more; the same for the same seed.
 
-    Pair numbers are drawn without listing all pairs: t * prime + seed, modulo the number of pairs,
-    is a permutation. Needs idx dense from 0 and at most 65,000 words. size 0 means all pairs.
+    Needs idx dense from 0. Pair numbers are drawn by hash, twice as many as needed, of which the first
+    `size` different ones count; where there are at most four times as many pairs as needed, they are all
+    put in the order of their hashes. So no list of all pairs is made. size 0 means all pairs.
     """
     n = words.select("idx").count()
     pairs = n * (n - 1) // 2
-    if n > 65_000:
-        raise ValueError("pair numbers of more than 65,000 words don't fit the stride")
-    take = pairs if size == 0 else min(size, pairs)
-    k = words.sparkSession.range(take).select(F.pmod(F.col("id") * F.lit(STRIDE % max(1, pairs)) + F.lit(seed), F.lit(max(1, pairs))).alias("k"))
+    spark, digest = words.sparkSession, F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string")))
+    if size == 0 or pairs <= size:
+        k = spark.range(pairs).select(F.col("id").alias("k"))
+    elif pairs <= 4 * size:
+        k = spark.range(pairs).select(F.col("id").alias("k"), digest.alias("o")).orderBy("o").limit(size)
+    else:
+        drawn = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % F.lit(pairs)
+        k = spark.range(2 * size).select(drawn.alias("k"), "id").groupBy("k").agg(F.min("id").alias("o")).orderBy("o").limit(size)
     i, j = pair_of_index(F.col("k"), F.lit(n).cast("long"))
     return k.select(i.alias("i"), j.alias("j"))
 

@@ -110,16 +110,18 @@ def _block_product(by: list[str], best: int | None = None):
     return product
 
 
-def _blocks(cells: DataFrame, weight: str, by: tuple[str, ...], block: int, task_cells: int) -> tuple[DataFrame, int]:
-    """Unit rows keyed by pair of blocks and slice of responses, and the number of slices."""
+def _blocks(cells: DataFrame, weight: str, by: tuple[str, ...], block: int, task_cells: int, sliced: bool) -> DataFrame:
+    """Unit rows keyed by pair of blocks of cues and, with sliced, slice of responses; without, blocks are so many that each has about task_cells cells at most."""
     w = unit_rows(cells, weight, *by)
     n = w.agg(F.count(F.lit(1)).alias("cells"), F.approx_count_distinct("cue", 0.02).alias("cues")).first()
     blocks, slices = max(1, -(-n["cues"] // block)), max(1, -(-n["cells"] // task_cells))
+    if not sliced:
+        blocks, slices = max(blocks, slices), 1
     own = F.pmod(F.xxhash64("cue", F.lit(1)), F.lit(blocks)).cast("int")
     placed = w.select(*by, "cue", "response", "w", own.alias("own"), F.pmod(F.xxhash64("response"), F.lit(slices)).cast("int").alias("slice"))
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     keyed = met.select(*by, F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "slice", (F.col("own") > F.col("other")).cast("int").alias("side"), "cue", "response", "w")
-    return keyed, slices
+    return keyed
 
 
 def _pair_schema(df: DataFrame, by: tuple[str, ...], left: str, right: str) -> StructType:
@@ -133,7 +135,7 @@ def cosine_pairs(cells: DataFrame, weight: str, *by: str, block: int = BLOCK_CUE
     blocks is a matrix product per slice, and the slices are summed up. So a response that most cues
     share is one more column of the products, and its pairs of cues are never listed.
     """
-    keyed, _ = _blocks(cells, weight, by, block, task_cells)
+    keyed = _blocks(cells, weight, by, block, task_cells, True)
     parts = keyed.groupBy("bi", "bj", "slice", *by).applyInPandas(_block_product(list(by)), _pair_schema(keyed, by, "cue_i", "cue_j"))
     return parts.groupBy(*by, "cue_i", "cue_j").agg(F.sum("sim").alias("sim"))
 
@@ -141,15 +143,11 @@ def cosine_pairs(cells: DataFrame, weight: str, *by: str, block: int = BLOCK_CUE
 def nearest_by_cosine(cells: DataFrame, weight: str, k: int, *by: str, block: int = BLOCK_CUES, task_cells: int = TASK_CELLS) -> DataFrame:
     """by..., word, neighbour, sim (to 9 digits), place: the k nearest cues of each cue that share a response with it.
 
-    Ties go to the smaller neighbour. While one slice holds all responses, each product hands on only
-    the k best of its cues; else the slices' sums are needed first.
+    Ties go to the smaller neighbour. Each product of two blocks of cues runs over all their responses
+    and hands on only the k best of its cues, however many responses or cells there are.
     """
-    keyed, slices = _blocks(cells, weight, by, block, task_cells)
-    if slices == 1:
-        parts = keyed.groupBy("bi", "bj", "slice", *by).applyInPandas(_block_product(list(by), k), _pair_schema(keyed, by, "word", "neighbour"))
-    else:
-        pairs = cosine_pairs(cells, weight, *by, block=block, task_cells=task_cells).withColumn("sim", F.round("sim", 9))
-        parts = both_ways(pairs).withColumnsRenamed({"cue_i": "word", "cue_j": "neighbour"})
+    keyed = _blocks(cells, weight, by, block, task_cells, False)
+    parts = keyed.groupBy("bi", "bj", "slice", *by).applyInPandas(_block_product(list(by), k), _pair_schema(keyed, by, "word", "neighbour"))
     w = Window.partitionBy(*by, "word").orderBy(F.col("sim").desc(), "neighbour")
     return parts.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 

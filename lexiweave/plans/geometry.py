@@ -58,23 +58,22 @@ def row_sum_stats(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumn("mean_per_cue", r6(F.col("mean_per_cue")))
 
 
-#: The words of the geometry: lemmas of the vocabulary that are cues of at least 5 rows, by rank, 5,000 at most; idx dense from 0.
+#: The words of the geometry: lemmas of the vocabulary that are cues of at least 5 rows, by rank; idx dense from 0.
 SQL_WORDS = f"""
 sup as (select cue as word, count(*) as n from lng where cue is not null group by 1),
 wrd as (select word, vr, row_number() over (order by vr, word) - 1 as idx from (select v.word, v.vr from
-        (select lower(lemma) as word, min(vocab_rank) as vr from vocabulary where lemma is not null group by 1) v join sup using (word) where n >= 5 order by vr, word limit 5000))"""
+        (select lower(lemma) as word, min(vocab_rank) as vr from vocabulary where lemma is not null group by 1) v join sup using (word) where n >= 5))"""
 
 
-def _words(spark: SparkSession, d: str, most: int | None = 5000) -> DataFrame:
+def _words(spark: SparkSession, d: str) -> DataFrame:
     support = table(spark, d, "long_df", "cue_word").groupBy(clean(F.col("cue_word")).alias("word")).agg(F.count(F.lit(1)).alias("n")).where("n >= 5 and word is not null")
     v = table(spark, d, "vocabulary").where("lemma is not null").groupBy(F.lower("lemma").alias("word")).agg(F.min("vocab_rank").alias("vr"))
     top = v.join(support, "word").select("word", "vr")
-    top = top if most is None else top.orderBy("vr", "word").limit(most)
     return stored(dense_index(top, ["vr", "word"]).select("word", "vr", (F.col("index") - 1).alias("idx")), "words")
 
 
 def _cells(spark: SparkSession, d: str, words: DataFrame) -> DataFrame:
-    kept = _counts(spark, d).join(F.broadcast(words.select(F.col("word").alias("cue"))), "cue", "left_semi")  # 5,000 words at most
+    kept = _counts(spark, d).join(words.select(F.col("word").alias("cue")), "cue", "left_semi")
     return stored(N.ppmi(kept), "cells")
 
 
@@ -190,11 +189,19 @@ def static_geometry(spark: SparkSession, d: str) -> DataFrame:
     return nearest(stored(v, "static"), 3).select("word", "neighbour", F.col("place").cast("long").alias("place"))
 
 
-@C.query("""with w as (select count(distinct vec_id) as n from embeddings), k as (select unnest(generate_series(0, least(9999, n * (n - 1) // 2 - 1))) as t, n from w),
-    p as (select t, n, (t::hugeint * (2147483647 % (n * (n - 1) // 2)) + 7) % (n * (n - 1) // 2) as k from k),
-    g as (select *, floor(((2 * n - 1) - sqrt(((2 * n - 1) * (2 * n - 1) - 8 * k)::double)) / 2)::bigint as g from p),
-    i as (select k::bigint as k, n, case when (g * (2 * n - g - 1)) // 2 > k then g - 1 when ((g + 1) * (2 * n - g - 2)) // 2 <= k then g + 1 else g end as i from g)
-    select i, (k - (i * (2 * n - i - 1)) // 2 + i + 1)::bigint as j from i""")
+def sql_pairs(words: str, seed: int, size: int = PAIRS) -> str:
+    """prs (i, j): the pairs that operators.compare.sampled_pairs draws among the rows of `words`."""
+    return f"""
+pn as (select count(*) as n, count(*) * (count(*) - 1) // 2 as np from {words}),
+pt as (select n, np, np <= {4 * size} as few, unnest(generate_series(0::bigint, case when np <= {4 * size} then np - 1 else {2 * size} - 1 end)) as t from pn),
+ph as (select n, case when few then t else ('0x' || substr(md5('{seed}|' || t), 1, 15))::bigint % np end as k, case when few then md5('{seed}|' || t) else lpad(t::varchar, 20, '0') end as o from pt),
+pk as (select n, k from (select n, k, min(o) as o from ph group by 1, 2) order by o limit {size}),
+pg as (select *, floor(((2 * n - 1) - sqrt(((2 * n - 1) * (2 * n - 1) - 8 * k)::double)) / 2)::bigint as g from pk),
+pi_ as (select k, n, case when (g * (2 * n - g - 1)) // 2 > k then g - 1 when ((g + 1) * (2 * n - g - 2)) // 2 <= k then g + 1 else g end as i from pg),
+prs as (select i, (k - (i * (2 * n - i - 1)) // 2 + i + 1)::bigint as j from pi_)"""
+
+
+@C.query(f"with {sql_pairs('(select distinct vec_id from embeddings)', 7)} select i, j from prs")
 def pair_sample(spark: SparkSession, d: str) -> DataFrame:
     """10,000 different pairs i < j, drawn by number."""
     words = table(spark, d, "embeddings").select(F.col("vec_id").alias("idx")).distinct()
@@ -217,15 +224,15 @@ def word_split(words: DataFrame, key: str, seed: int, share: float = 0.2) -> Dat
 # ---- hidden states: embeddings whose number is a word's rank; even and odd dimensions are two models, slices are layers
 
 
-def _hidden(spark: SparkSession, d: str, words: DataFrame, few: bool = True) -> DataFrame:
+def _hidden(spark: SparkSession, d: str, words: DataFrame) -> DataFrame:
     own = words.select(F.col("vr").alias("word"), "idx")
-    v = embedding_layers(table(spark, d, "embeddings")).join(F.broadcast(own) if few else own, "word")  # few: 5,000 words at most
+    v = embedding_layers(table(spark, d, "embeddings")).join(own, "word")
     return v.drop("word")
 
 
-def _common(spark: SparkSession, d: str, most: int | None = 5000) -> DataFrame:
+def _common(spark: SparkSession, d: str) -> DataFrame:
     """Words that the associations and the embeddings share, idx dense again."""
-    w = _words(spark, d, most).join(table(spark, d, "embeddings").select(F.col("vec_id").cast("int").alias("vr")), "vr", "left_semi")
+    w = _words(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").cast("int").alias("vr")), "vr", "left_semi")
     return stored(dense_index(w.select("word", "vr"), ["vr", "word"]).select("word", "vr", (F.col("index") - 1).alias("idx")), "common")
 
 
@@ -239,12 +246,7 @@ hm as (select layer, model, p, avg(x) as mu from h1 group by 1, 2, 3),
 h2 as (select idx, layer, model, p, x - mu as x from h1 join hm using (layer, model, p)),
 hl as (select idx, layer, model, sqrt(sum(x * x)) as len from h2 group by 1, 2, 3),
 hv as (select idx, layer, model, list(x / greatest(len, 1e-12) order by p) as v from h2 join hl using (idx, layer, model) group by 1, 2, 3)"""
-_PR = """
-pn as (select count(*) as n from wrd), pt as (select unnest(generate_series(0, least(9999, n * (n - 1) // 2 - 1))) as t, n from pn),
-pk as (select n, (t::hugeint * (2147483647 % (n * (n - 1) // 2))) % (n * (n - 1) // 2) as k from pt),
-pg as (select *, floor(((2 * n - 1) - sqrt(((2 * n - 1) * (2 * n - 1) - 8 * k)::double)) / 2)::bigint as g from pk),
-pi_ as (select k::bigint as k, n, case when (g * (2 * n - g - 1)) // 2 > k then g - 1 when ((g + 1) * (2 * n - g - 2)) // 2 <= k then g + 1 else g end as i from pg),
-prs as (select i, (k - (i * (2 * n - i - 1)) // 2 + i + 1)::bigint as j from pi_)"""
+_PR = sql_pairs("wrd", 0)
 _HS = """
 hs as (select a.model, a.layer, i, j, list_dot_product(a.v, b.v) as sim from prs join hv a on a.idx = i join hv b on b.idx = j and a.model = b.model and a.layer = b.layer),
 own as (select model, i, j, sum(sim) as s, count(*) as n from hs where layer >= 1 group by 1, 2, 3),
@@ -279,8 +281,8 @@ def rsa_layerwise(spark: SparkSession, d: str) -> DataFrame:
     return out.select("model", F.col("layer").cast("long").alias("layer"), "n_pairs", *[r6(F.col(c)).alias(c) for c in ("pearson_fa", "pearson_cross", "pearson_valid")])
 
 
-#: All supported words instead of 5,000, PPMI over all cues, and all pairs.
-_COMMON_ALL = f"""{SQL_COUNTS}, {SQL_PPMI.replace("pp as (", "pp_all as (")}, {SQL_WORDS.replace("wrd as (", "wrd0 as (").replace(" limit 5000", "")},
+#: PPMI over all cues instead of the words' own, and all pairs instead of sampled ones.
+_COMMON_ALL = f"""{SQL_COUNTS}, {SQL_PPMI.replace("pp as (", "pp_all as (")}, {SQL_WORDS.replace("wrd as (", "wrd0 as (")},
 wrd as (select word, vr, row_number() over (order by vr, word) - 1 as idx from wrd0 where vr in (select vec_id from embeddings)),
 pp as (select * from pp_all where cue in (select word from wrd))"""
 _PR_ALL = """
@@ -294,16 +296,16 @@ def _sql_all(name: str) -> str:
 @C.query(_sql_all("consensus_loo_pairs"))
 def consensus_loo_all(spark: SparkSession, d: str) -> DataFrame:
     """consensus_loo_pairs of all pairs."""
-    words = _common(spark, d, None)
-    hidden = centred(_hidden(spark, d, words, few=False), "model", "layer").where("layer >= 1")
+    words = _common(spark, d)
+    hidden = centred(_hidden(spark, d, words), "model", "layer").where("layer >= 1")
     return all_pair_consensus(hidden, words).withColumn("sim", r6(F.col("sim")))
 
 
 @C.query(_sql_all("rsa_layerwise"))
 def rsa_layerwise_all(spark: SparkSession, d: str) -> DataFrame:
     """rsa_layerwise over all pairs of all supported words, as the RSA program does by default."""
-    words = _common(spark, d, None)
-    hidden = centred(_hidden(spark, d, words, few=False), "model", "layer").where("layer >= 1")
+    words = _common(spark, d)
+    hidden = centred(_hidden(spark, d, words), "model", "layer").where("layer >= 1")
     cells = stored(N.ppmi(_counts(spark, d)).join(words.select(F.col("word").alias("cue")), "cue", "left_semi"), "cells")
     valid = words.join(table(spark, d, "embeddings").where("label % 2 = 0").select(F.col("vec_id").cast("int").alias("vr")), "vr", "left_semi").select("idx")
     out = all_pair_correlations(hidden, cells, "ppmi", words, valid)

@@ -50,7 +50,7 @@ def _ridge_rows(spark: SparkSession, d: str) -> DataFrame:
     fa = sparse_sims(ij, cells, "cnt", words, "fa")
     fc_cells = N.count_pairs(stacked_picks(forced_choice_trials(table(spark, d, "fc_raw"))))
     fc = sparse_sims(ij, fc_cells, "cnt", words, "fc")
-    emb = table(spark, d, "embeddings").select(F.col("vec_id").cast("int").alias("vr"), F.col("embedding").cast("array<double>").alias("e")).join(F.broadcast(words.select("vr", "idx")), "vr")  # 5,000 words at most
+    emb = table(spark, d, "embeddings").select(F.col("vec_id").cast("int").alias("vr"), F.col("embedding").cast("array<double>").alias("e")).join(words.select("vr", "idx"), "vr")
     half = lambda a, b: emb.select("idx", normalized(F.slice("e", a, b)).alias("vec"))
     ft, bert = dense_sims(ij, half(1, 8), name="ft"), dense_sims(ij, half(9, 8), name="bert")
     cross = consensus_sims(y).withColumnRenamed("sim", "cross")
@@ -107,7 +107,7 @@ def uncentered_cosine(spark: SparkSession, d: str) -> DataFrame:
 @C.query(C.sql["uncentered_cosine"].replace(_COMMON, _COMMON_ALL).replace(_PR, _PR_ALL))
 def uncentered_cosine_all(spark: SparkSession, d: str) -> DataFrame:
     """M9: the mean of uncentered_cosine over all pairs, in one pass: the square of the sum of all unit vectors less their own squares is twice the sum over pairs."""
-    unit = _hidden(spark, d, _common(spark, d, None), few=False).withColumn("vec", normalized(F.col("vec")))
+    unit = _hidden(spark, d, _common(spark, d)).withColumn("vec", normalized(F.col("vec")))
     sums = unit.select("model", "layer", F.posexplode("vec").alias("at", "x")).groupBy("model", "layer", "at").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("own"), F.count(F.lit(1)).alias("n"))
     s = sums.groupBy("model", F.col("layer").cast("long").alias("layer")).agg(((F.sum(F.col("s") * F.col("s")) - F.sum("own")) / 2).alias("sum"), F.expr("max(n) * (max(n) - 1) div 2").alias("n_pairs"))
     return s.where("n_pairs > 0").select("model", "layer", r6(F.col("sum") / F.col("n_pairs")).alias("mean_sim"), "n_pairs")
@@ -206,7 +206,7 @@ def stream_sentence_cap(spark: SparkSession, d: str) -> DataFrame:
 def required_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Vectors of words and of the words after them, by inner joins."""
     words = _common(spark, d)
-    e = table(spark, d, "embeddings").select(F.col("vec_id").cast("int").alias("vr"), F.col("embedding").cast("array<double>").alias("v")).join(F.broadcast(words.select("vr", "idx")), "vr")
+    e = table(spark, d, "embeddings").select(F.col("vec_id").cast("int").alias("vr"), F.col("embedding").cast("array<double>").alias("v")).join(words.select("vr", "idx"), "vr")
     nxt = e.select((F.col("idx") - 1).alias("idx"), F.col("v").alias("w"))
     return e.join(nxt, "idx").agg(r6(F.avg(dot(F.col("v"), F.col("w")))).alias("mean_product"), F.count(F.lit(1)).alias("n"))
 

@@ -1,6 +1,6 @@
 """Queries over word lists, texts and raw trials."""
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiweave.functions.rules import clean, short_number, slug, squeeze, stable_seed
@@ -227,37 +227,36 @@ def pool_size_summary(spark: SparkSession, d: str) -> DataFrame:
     return n.agg(F.min("n").cast("long").alias("smallest"), F.percentile("n", 0.5).cast("double").alias("middle"), F.max("n").cast("long").alias("largest"))
 
 
+#: Cues that meet a word at a time.
+BLOCK_CUES = 100
+
+
 @C.query("""select cue, word, row_number() over (partition by cue order by md5('12345|' || cue || '|' || word), word) as place from
-    (select distinct v.word as cue, w.word as word from (select distinct lower(word) as word from vocabulary where vocab_rank < 50 and word is not null) v,
-     (select distinct lower(word) as word from vocabulary where word is not null) w where v.word <> w.word) qualify place <= 16""")
+    (select distinct v.word as cue, w.word as word from (select distinct lower(word) as word from vocabulary where vocab_rank % 50 = 0 and word is not null) v,
+     (select distinct lower(word) as word from vocabulary where word is not null) w where v.word <> w.word)""")
 def cue_shuffle(spark: SparkSession, d: str) -> DataFrame:
-    """For each of the most frequent words 16 others, drawn by hash; the pool of a cue is every other word.
+    """The whole pool of a cue, which is every other word, in the order of the hashes; the cues are the words of every 50th rank.
 
-    The frequent words are a query set of bounded size (vocab_rank < 50) against all words.
+    The query set goes through in blocks of 100 cues: each word meets each block once, and a block is a list within one row.
     """
-    words = table(spark, d, "vocabulary").where("word is not null").select(F.lower("word").alias("word"), "vocab_rank")
-    cues = words.where("vocab_rank < 50").select(F.col("word").alias("cue")).distinct()
-    pool = words.select("word").distinct().crossJoin(F.broadcast(cues)).where("word <> cue")
-    w = Window.partitionBy("cue").orderBy(F.md5(F.concat_ws("|", F.lit("12345"), "cue", "word")), "word")
-    return pool.withColumn("place", F.row_number().over(w).cast("long")).where("place <= 16").select("cue", "word", "place")
+    return _pools(table(spark, d, "vocabulary").where("word is not null").select(F.lower("word").alias("word"), "vocab_rank"), F.col("vocab_rank") % 50 == 0)
 
 
-#: Words that are broadcast to the cues, and rows of one task of their pools.
-BROADCAST_WORDS, TASK_ROWS = 200_000, 4_000_000
+def _pools(rows: DataFrame, asked: Column) -> DataFrame:
+    words = stored(rows.groupBy("word").agg(F.max(asked).alias("asked")), "words")
+    cues = dense_index(words.where("asked").select("word"), ["word"]).select(F.col("word").alias("cue"), F.floor((F.col("index") - 1) / BLOCK_CUES).cast("int").alias("block"))
+    cues = stored(cues.groupBy("block").agg(F.collect_list("cue").alias("cues")), "cues")
+    blocks = cues.count()
+    met = words.select("word", F.explode(F.sequence(F.lit(0), F.lit(max(0, blocks - 1)))).alias("block")).join(cues, "block")
+    pool = met.select(F.explode("cues").alias("cue"), "word").where("word <> cue")
+    w = Window.partitionBy("cue").orderBy(F.md5(F.concat_ws("|", F.lit("12345"), "cue", "word")), "word")
+    return pool.select("cue", "word", F.row_number().over(w).cast("long").alias("place"))
 
 
-@C.query(C.sql["cue_shuffle"].replace("vocab_rank < 50 and ", "").replace(" qualify place <= 16", ""))
+@C.query(C.sql["cue_shuffle"].replace("vocab_rank % 50 = 0 and ", ""))
 def cue_shuffle_all(spark: SparkSession, d: str) -> DataFrame:
-    """For every word all other words in the order of their hashes.
-
-    The cues are spread by hash and meet the words in place, so the pools themselves are not shuffled; each is sorted on its own.
-    """
-    words = stored(table(spark, d, "vocabulary").where("word is not null").select(F.lower("word").alias("word")).distinct(), "words")
-    n = words.count()
-    cues = words.select(F.col("word").alias("cue")).repartition(max(1, -(-n * n // TASK_ROWS)), "cue")
-    pool = cues.crossJoin(F.broadcast(words) if n <= BROADCAST_WORDS else words).where("word <> cue")
-    w = Window.partitionBy("cue").orderBy(F.md5(F.concat_ws("|", F.lit("12345"), "cue", "word")), "word")
-    return pool.select("cue", "word", F.row_number().over(w).cast("long").alias("place"))
+    """For every word all other words in the order of their hashes."""
+    return _pools(table(spark, d, "vocabulary").where("word is not null").select(F.lower("word").alias("word"), "vocab_rank"), F.lit(True))
 
 
 @C.query("select event_type, count(*) as n, round(avg(value), 6) + 0.0 as mean_value from events where event_type in ('click', 'view', 'error') group by 1")
