@@ -13,8 +13,9 @@ from lexiweave.functions.text import fingerprint
 from lexiweave.llm.common import folded_rows
 from lexiweave.sources.workdir import stored
 
-#: Pairs that one task sorts.
+#: Pairs that one task sorts, and ranges at most: beyond both the ranges grow with the data and are sorted on disk.
 RANGE_ROWS = 200_000
+MOST_RANGES = 20_000
 
 _RUNS = "term string, n_rows long, n_records long, part int, edge int, first1 long, first2 long, last1 long, last2 long"
 
@@ -74,11 +75,11 @@ def term_counts(pairs: DataFrame, *, range_rows: int = RANGE_ROWS, n_pairs: int
     pairs = pairs.select("term", "r1", "r2").where(F.col("term").isNotNull())
     if n_pairs is None:
         n_pairs = pairs.count()
-    parts = max(1, -(-n_pairs // range_rows))
+    parts = min(MOST_RANGES, max(1, -(-n_pairs // range_rows)))
     salted = pairs.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(1024)))
     ordered = salted.repartitionByRange(parts, "term", "r1", "r2", "salt").sortWithinPartitions("term", "r1", "r2")
     runs = stored(ordered.select("term", "r1", "r2").mapInArrow(_scan, _RUNS), "term-runs")
-    # At most two rows a partition: small enough for one task, whatever the data.
+    # Two rows a range, so 2 * MOST_RANGES at most: small enough for one task, whatever the data.
     edges = runs.where("edge > 0")
     before = Window.orderBy("part", "edge")
     twice = edges.select(
