@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiweave.llm.common import folded_rows
+from lexiweave.llm.common import BROADCAST_BYTES, folded_rows, sized
 from lexiweave.sources.workdir import stored
 
 
@@ -26,17 +26,8 @@ def multiset_fingerprint(fields: list[tuple[str, Column]]) -> list[Column]:
     return out
 
 
-#: Groups of copies are joined by broadcast up to so many (some 30 MB), beyond that by a shuffle that AQE may split.
-BROADCAST_GROUPS = 300_000
-
-
-def _sized(df: DataFrame, most: int) -> DataFrame:
-    """A stored table, for broadcast if it is small enough."""
-    return F.broadcast(df) if df.count() <= most else df
-
-
-def grouped_copies(rows: DataFrame, key: str, fixed: list[str], loose: tuple[str, str], *, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
-    """k and first_id of the rows in groups of copies, whether they are the `same` as the group's first row, and if not their fields.
+def grouped_copies(rows: DataFrame, key: str, fixed: list[str], loose: tuple[str, str], *, broadcast_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, DataFrame]:
+    """first_id, n of every fingerprint; and k, first_id of the rows in groups of copies, whether they are the `same` as the group's first row, and if not their fields.
 
     Two rows are copies if they agree in the `fixed` columns and their two `loose` columns hold the same
     two values, whichever holds which; nulls equal nulls. Rows are grouped by a multiset fingerprint;
@@ -51,17 +42,36 @@ def grouped_copies(rows: DataFrame, key: str, fixed: list[str], loose: tuple[str
     fp1, fp2 = multiset_fingerprint([*((c, F.col(c)) for c in fixed), ("loose", F.col(a)), ("loose", F.col(b))])
     fields = [*fixed, a, b]
     marked = rows.select(F.col(key).alias("k"), *fields, fp1.alias("fp1"), fp2.alias("fp2"))
-    groups = marked.groupBy("fp1", "fp2").agg(F.min("k").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = stored(marked.join(_sized(stored(groups, "p4-groups"), broadcast_groups), ["fp1", "fp2"]), "p4-members")
+    every = marked.groupBy("fp1", "fp2").agg(F.min("k").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    groups = stored(every.where("n > 1").drop("n"), "p4-groups")
+    members = stored(marked.join(sized(groups, broadcast_bytes), ["fp1", "fp2"]), "p4-members")
     first = members.where("k = first_id").dropDuplicates(["fp1", "fp2"]).select("fp1", "fp2", *[F.col(c).alias(f"of_{c}") for c in fields])
-    held = members.join(_sized(stored(first, "p4-first"), broadcast_groups), ["fp1", "fp2"])
+    held = members.join(sized(stored(first, "p4-first"), broadcast_bytes), ["fp1", "fp2"])
     same = F.lit(True)
     for c in fixed:
         same = same & F.col(c).eqNullSafe(F.col(f"of_{c}"))
     straight = F.col(a).eqNullSafe(F.col(f"of_{a}")) & F.col(b).eqNullSafe(F.col(f"of_{b}"))
     crossed = F.col(a).eqNullSafe(F.col(f"of_{b}")) & F.col(b).eqNullSafe(F.col(f"of_{a}"))
     held = held.withColumn("same", same & (straight | crossed))
-    return stored(held.select("k", "first_id", "same", *[F.when(~F.col("same"), F.col(c)).alias(c) for c in fields]), "p4-held")
+    return every.select("first_id", "n"), stored(held.select("k", "first_id", "same", *[F.when(~F.col("same"), F.col(c)).alias(c) for c in fields]), "p4-held")
+
+
+_FIXED, _LOOSE = ["run_file", "assoc_pos"], ("cue", "assoc")
+
+
+def _classes(long_df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """first_id, n of every fingerprint; first_id, k of every row that is in a fingerprint's group of two and more."""
+    rows = folded_rows(long_df, "row_id", *_FIXED)
+    every, held = grouped_copies(rows, "row_id", _FIXED, _LOOSE)
+    good = held.where("same").select("first_id", "k")
+    # Two different records under one 128-bit fingerprint, which hardly ever are: the odd ones are grouped by their fields.
+    odd = held.where(~F.col("same"))
+    if odd.isEmpty():
+        return every, good
+    odd = odd.withColumns({"x": F.least(*_LOOSE), "y": F.greatest(*_LOOSE)})
+    lowest = odd.groupBy(*_FIXED, "x", "y").agg(F.min("k").alias("lowest"))
+    cond = [odd[c].eqNullSafe(lowest[c]) for c in (*_FIXED, "x", "y")]
+    return every, good.unionByName(odd.join(lowest, cond).select(F.col("lowest").alias("first_id"), "k"))
 
 
 def copies(long_df: DataFrame) -> DataFrame:
@@ -69,23 +79,14 @@ def copies(long_df: DataFrame) -> DataFrame:
 
     Rows with a missing text are left out (see folded_rows). A null run_file or assoc_pos equals another null.
     """
-    rows = folded_rows(long_df, "row_id", "run_file", "assoc_pos")
-    fixed, loose = ["run_file", "assoc_pos"], ("cue", "assoc")
-    held = grouped_copies(rows, "row_id", fixed, loose)
-    good = held.where("same and k <> first_id").select("first_id", F.col("k").alias("row_id"))
-    # Two different records under one 128-bit fingerprint: regroup the odd ones by their fields.
-    odd = held.where(~F.col("same")).withColumns({"x": F.least(*loose), "y": F.greatest(*loose)})
-    lowest = odd.groupBy(*fixed, "x", "y").agg(F.min("k").alias("lowest"))
-    cond = [odd[c].eqNullSafe(lowest[c]) for c in (*fixed, "x", "y")]
-    rest = odd.join(lowest, cond).where("k <> lowest").select(F.col("lowest").alias("first_id"), F.col("k").alias("row_id"))
-    return good.unionByName(rest)
+    return _classes(long_df)[1].where("k <> first_id").select("first_id", F.col("k").alias("row_id"))
 
 
 def records_with_copies(long_df: DataFrame) -> DataFrame:
-    """first_id, n_copies: each record of long_df once, with the number of rows that hold it."""
-    rows = folded_rows(long_df, "row_id", "run_file", "assoc_pos")
-    key = [F.col("run_file"), F.col("assoc_pos"), F.least("cue", "assoc"), F.greatest("cue", "assoc")]
-    fp1, fp2 = multiset_fingerprint([("run_file", F.col("run_file")), ("assoc_pos", F.col("assoc_pos")), ("loose", F.col("cue")), ("loose", F.col("assoc"))])
-    # The texts stay in the key: rows that only share a fingerprint stay apart.
-    grouped = rows.groupBy(fp1.alias("fp1"), fp2.alias("fp2"), *[k.alias(f"k{i}") for i, k in enumerate(key)])
-    return grouped.agg(F.min("row_id").alias("first_id"), F.count(F.lit(1)).alias("n_copies")).select("first_id", "n_copies")
+    """first_id, n_copies: each record of long_df once, with the number of rows that hold it.
+
+    A fingerprint that one row has is a record; the others are counted from the rows held against the first of their group.
+    """
+    every, members = _classes(long_df)
+    single = every.where("n = 1").select("first_id", F.lit(1).cast("long").alias("n_copies"))
+    return single.unionByName(members.groupBy("first_id").agg(F.count(F.lit(1)).alias("n_copies")))
