@@ -3,13 +3,13 @@
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiweave.functions.text import fingerprint
-from lexiweave.llm.common import folded_rows
+from lexiweave.llm.common import BROADCAST_BYTES, folded_rows, sized
+from lexiweave.operators.lexicon import dense_index
 from lexiweave.sources.workdir import stored
 
 #: Frequent items that get a row in the bit matrix.
@@ -20,8 +20,9 @@ BLOCK_RECORDS = 65_536
 WIDE = 256
 #: Items of one block of the wide records' bit matrix.
 BLOCK_ITEMS = 1_024
-#: Coded items are joined to their rows by broadcast up to so many items (some 20 MB), beyond that by a shuffle.
-BROADCAST_ITEMS = 200_000
+#: Pairs that one task lists before it counts them, and rows of wide records that it holds at a time.
+LISTED_PAIRS = 4_000_000
+WIDE_ROWS = 1_000_000
 
 _PAIRS = "a long, b long, n long"
 _PAIRS_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
@@ -69,6 +70,27 @@ def _count_block(record: np.ndarray, item: np.ndarray, heavy: int, dense: np.nda
         d += 1
 
 
+def _starts(r1: np.ndarray, r2: np.ndarray) -> np.ndarray:
+    """Where a record begins."""
+    fresh = np.ones(len(r1), bool)
+    fresh[1:] = (r1[1:] != r1[:-1]) | (r2[1:] != r2[:-1])
+    return np.flatnonzero(fresh)
+
+
+def _last_start(r1: np.ndarray, r2: np.ndarray) -> int:
+    return int(_starts(r1, r2)[-1]) if len(r1) else 0
+
+
+def _cuts(r1: np.ndarray, r2: np.ndarray, most: int = LISTED_PAIRS) -> Iterator[slice]:
+    """Whole records, so many at a time that they list at most `most` pairs, or one record."""
+    start = _starts(r1, r2)
+    size = np.diff(np.append(start, len(r1)))
+    part = np.cumsum(size * (size - 1) // 2) // most
+    first = np.flatnonzero(np.diff(part, prepend=-1))
+    for a, b in zip(first, np.append(first[1:], len(start))):
+        yield slice(int(start[a]), int(start[b]) if b < len(start) else len(r1))
+
+
 def _pair_counter(heavy: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = np.zeros((heavy, heavy), np.int64)
@@ -83,22 +105,16 @@ def _pair_counter(heavy: int):
                 key, n = np.unique(code[: len(a)] * len(ids) + code[len(a) :], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[key // len(ids)]), pa.array(ids[key % len(ids)]), pa.array(n.astype(np.int64))], schema=_PAIRS_ARROW)
 
-        held: list[tuple[np.ndarray, ...]] = []
-        rows = 0
+        held = tuple(np.empty(0, np.int64) for _ in range(3))
         for b in batches:
-            held.append(tuple(b.column(i).to_numpy(zero_copy_only=False) for i in range(3)))
-            rows += b.num_rows
-            if rows < BLOCK_RECORDS * 4:
-                continue
-            r1, r2, item = (np.concatenate(x) for x in zip(*held))
-            cut = len(r1)  # the last record may go on in the next batch
-            while cut > 0 and r1[cut - 1] == r1[-1] and r2[cut - 1] == r2[-1]:
-                cut -= 1
-            if cut:
-                yield from block(r1[:cut], r2[:cut], item[:cut])
-            held, rows = [(r1[cut:], r2[cut:], item[cut:])], len(r1) - cut
-        if rows:
-            yield from block(*(np.concatenate(x) for x in zip(*held)))
+            held = tuple(np.concatenate([h, b.column(i).to_numpy(zero_copy_only=False)]) for i, h in enumerate(held))
+            if len(held[0]) >= BLOCK_RECORDS:
+                cut = _last_start(held[0], held[1])  # the last record may go on in the next batch
+                for rows in _cuts(held[0][:cut], held[1][:cut]):
+                    yield from block(*(h[rows] for h in held))
+                held = tuple(h[cut:] for h in held)
+        for rows in _cuts(held[0], held[1]):
+            yield from block(*(h[rows] for h in held))
         a, b = np.nonzero(dense)
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(dense[a, b])], schema=_PAIRS_ARROW)
@@ -106,52 +122,103 @@ def _pair_counter(heavy: int):
     return count
 
 
-def _wide_block(least: int):
-    def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:  # (block i, block j): rows of item, side, records
-        left, right = rows[rows.side == 0], rows[rows.side == 1]
-        ids = np.unique(np.concatenate([np.concatenate(rows.records.to_list()), [0]]))
+def _wide_counter(least: int, blocks: int, width: int):
+    """Pairs of two blocks of items in wide records: popcounts of bit matrices over records, added to what the narrow records gave."""
 
-        def bits(x) -> np.ndarray:
-            many = x.records.map(len).to_numpy()
-            return _bit_rows(np.repeat(np.arange(len(x)), many), np.searchsorted(ids, np.concatenate([np.empty(0, np.int64), *x.records])), len(x), len(ids))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: tuple[int, int] | None = None
+        dense = np.zeros((0, 0), np.int64)
+        ids = np.zeros((2, width), np.int64)
+        held: list[np.ndarray] = []
+
+        def add(rows: np.ndarray) -> None:
+            start = _starts(rows[0], rows[1])
+            record = np.repeat(np.arange(len(start)), np.diff(np.append(start, rows.shape[1])))
+            side, at = (rows[2] % blocks != key[0]).astype(np.int64), rows[2] // blocks
+            ids[side, at] = rows[3]
+            bits = [_bit_rows(at[side == s], record[side == s], width, len(start)) for s in (0, 1)]
+            left = np.flatnonzero(bits[0].any(axis=1))
+            for k, n in zip(left, _popcounts(bits[0][left], bits[0] if key[0] == key[1] else bits[1])):
+                dense[k] += n
+
+        def flush(end: bool) -> None:
+            if held:
+                rows = np.concatenate(held, axis=1)
+                held.clear()
+                cut = rows.shape[1] if end else _last_start(rows[0], rows[1])
+                if cut:
+                    add(rows[:, :cut])
+                if cut < rows.shape[1]:
+                    held.append(rows[:, cut:])
+
+        def out() -> Iterator[pa.RecordBatch]:
+            flush(True)
+            if key[0] == key[1]:
+                dense[np.tril_indices(width)] = 0
+            a, b = np.nonzero(dense >= least)
+            if len(a):
+                x, y = ids[0][a], ids[0 if key[0] == key[1] else 1][b]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(dense[a, b])], schema=_PAIRS_ARROW)
 
-        la, lb = left.item.to_numpy(), right.item.to_numpy()
-        found = [np.empty((0, 3), np.int64)]
-        if len(la) and len(lb):
-            for item, counts in zip(la, _popcounts(bits(left), bits(right))):
-                k = np.flatnonzero((counts >= least) & (lb > item))
-                found.append(np.stack([np.full(len(k), item), lb[k], counts[k]], axis=1))
-        return pd.DataFrame(np.concatenate(found), columns=["a", "b", "n"])
+        for b in batches:
+            if not b.num_rows:
+                continue
+            i, j, r1, r2, num, item, other, num2, n = (b.column(c).to_numpy(zero_copy_only=False) for c in range(9))
+            part = i * blocks + j
+            cut = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+            for lo, hi in zip(cut, cut[1:]):
+                if key != (i[lo], j[lo]):
+                    if key is not None:
+                        yield from out()
+                    key, dense = (int(i[lo]), int(j[lo])), np.zeros((width, width), np.int64)
+                rows = slice(lo, hi)
+                known = n[rows] > 0  # what narrow records gave
+                if known.any():
+                    x, y, xi, yi = num[rows][known], num2[rows][known], item[rows][known], other[rows][known]
+                    turn = (x % blocks != key[0]) | ((key[0] == key[1]) & (x > y))
+                    x, y, xi, yi = np.where(turn, y, x), np.where(turn, x, y), np.where(turn, yi, xi), np.where(turn, xi, yi)
+                    ids[0, x // blocks], ids[0 if key[0] == key[1] else 1, y // blocks] = xi, yi
+                    np.add.at(dense, (x // blocks, y // blocks), n[rows][known])
+                if not known.all():
+                    held.append(np.stack([r1[rows], r2[rows], num[rows], item[rows]])[:, ~known])
+                    if sum(h.shape[1] for h in held) >= WIDE_ROWS:
+                        flush(False)
+        if key is not None:
+            yield from out()
 
     return count
 
 
-def _wide_pairs(wide: DataFrame, listed: DataFrame, least: int) -> DataFrame:
-    """What the wide records add: for pairs already listed their number of common wide records, for others those in at least `least`.
+def _wide_pairs(wide: DataFrame, listed: DataFrame, least: int, block_items: int) -> DataFrame:
+    """a, b, n of all pairs of `listed` (from narrow records) and of `wide`, those of two wide items only if n >= least.
 
-    wide: r1, r2, item of the wide records. There are few of them (each has over WIDE items); an item's
-    wide records are kept as one list of record numbers. Pairs known from other records are looked up;
-    all others need `least` common wide records, and are found by popcounts between blocks of items.
+    wide: r1, r2, item of the wide records. Items of wide records are numbered and dealt to blocks; each
+    posting goes to the pairs of blocks it may meet, sorted by record, and each pair of blocks is counted
+    by popcounts, some records at a time, on top of the listed pairs of its items. So no list of a pair's
+    or an item's records is ever formed.
     """
-    records = stored(wide.select("r1", "r2").distinct().withColumn("record", F.monotonically_increasing_id()), "p3-wide")
-    lists = stored(wide.join(records, ["r1", "r2"]).groupBy("item").agg(F.collect_list("record").alias("records")), "p3-lists")
-    a = lists.select(F.col("item").alias("a"), F.col("records").alias("ra"))
-    b = lists.select(F.col("item").alias("b"), F.col("records").alias("rb"))
-    known = listed.select("a", "b").join(a, "a").join(b, "b").select("a", "b", F.size(F.array_intersect("ra", "rb")).cast("long").alias("n"))
-    often = lists.where(F.size("records") >= least)
-    blocks = max(1, -(-often.count() // BLOCK_ITEMS))
-    block = F.pmod(F.xxhash64("item"), F.lit(blocks))
-    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    rows = often.withColumn("own", block).withColumn("other", others)
-    sides = rows.select(F.col("own").alias("i"), F.col("other").cast("long").alias("j"), "item", F.lit(0).alias("side"), "records").unionByName(
-        rows.select(F.col("other").cast("long").alias("i"), F.col("own").alias("j"), "item", F.lit(1).alias("side"), "records")
-    )
-    new = sides.groupBy("i", "j").applyInPandas(_wide_block(least), _PAIRS)
-    return known.where("n > 0").unionByName(new.join(listed.select("a", "b"), ["a", "b"], "left_anti"))
+    numbers = stored(dense_index(wide.select("item").distinct(), ["item"], "num").withColumn("num", F.col("num") - 1), "p3-wide")
+    items = numbers.count()
+    blocks = max(1, -(-items // block_items))
+    width = -(-items // blocks)
+    block = lambda c: F.pmod(c, F.lit(blocks))
+    posted = wide.join(sized(numbers), "item").withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
+        F.least(block(F.col("num")), "other").cast("long").alias("i"), F.greatest(block(F.col("num")), "other").cast("long").alias("j"), "r1", "r2", "num", "item",
+        *[F.lit(0).cast("long").alias(c) for c in ("item2", "num2", "n")],
+    )
+    x, y = numbers.select(F.col("item").alias("a"), F.col("num").alias("x")), numbers.select(F.col("item").alias("b"), F.col("num").alias("y"))
+    known = listed.join(sized(stored(x, "p3-x")), "a", "left").join(sized(stored(y, "p3-y")), "b", "left")
+    both = known.where("x is not null and y is not null").select(
+        F.least(block(F.col("x")), block(F.col("y"))).alias("i"), F.greatest(block(F.col("x")), block(F.col("y"))).alias("j"), F.lit(0).cast("long").alias("r1"), F.lit(0).cast("long").alias("r2"),
+        F.col("x").alias("num"), F.col("a").alias("item"), F.col("b").alias("item2"), F.col("y").alias("num2"), "n",
+    )
+    keyed = posted.unionByName(both).repartition("i", "j").sortWithinPartitions("i", "j", "r1", "r2")
+    met = keyed.mapInArrow(_wide_counter(least, blocks, width), _PAIRS)
+    return known.where("x is null or y is null").select("a", "b", "n").unionByName(met)
 
 
 def pairs_together(
-    postings: DataFrame, *, least: int = 5, lift: float = 6.0, heavy_items: int = HEAVY_ITEMS, wide: int = WIDE, broadcast_items: int = BROADCAST_ITEMS
+    postings: DataFrame, *, least: int = 5, lift: float = 6.0, heavy_items: int = HEAVY_ITEMS, wide: int = WIDE, block_items: int = BLOCK_ITEMS, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """assoc_a, assoc_b (assoc_a < assoc_b), n, na, nb, n_records, lift: pairs in n >= least records with n * N >= lift * na * nb.
 
@@ -175,25 +242,18 @@ def pairs_together(
     head = spark.createDataFrame([(t, k) for k, t in enumerate(top)], "item string, head long")
     code = F.coalesce(F.col("head"), F.lit(heavy_items) + F.monotonically_increasing_id())
     items = stored(counts.join(F.broadcast(head), "item", "left").select("item", "na", code.alias("id")), "p3-items")
-    small = items.count() <= broadcast_items
-
-    def side(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if small else df
-
-    coded = postings.join(side(items.select("item", "id")), "item").select("r1", "r2", F.col("id").alias("item"))
+    coded = postings.join(sized(items.select("item", "id"), broadcast_bytes), "item").select("r1", "r2", F.col("id").alias("item"))
     sizes = coded.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > wide).select("r1", "r2")
     broad = stored(sizes, "p3-sizes")
-    n_broad = broad.count()
-    narrow = coded.join(F.broadcast(broad) if n_broad <= broadcast_items else broad, ["r1", "r2"], "left_anti") if n_broad else coded
+    some = not broad.isEmpty()
+    narrow = coded.join(sized(broad, broadcast_bytes), ["r1", "r2"], "left_anti") if some else coded
     in_order = narrow.repartition("r1", "r2").sortWithinPartitions("r1", "r2", "item")
     listed = in_order.mapInArrow(_pair_counter(heavy_items), _PAIRS).groupBy("a", "b").agg(F.sum("n").alias("n"))
-    if n_broad:
-        listed = stored(listed, "p3-listed")
-        more = _wide_pairs(coded.join(F.broadcast(broad) if n_broad <= broadcast_items else broad, ["r1", "r2"], "left_semi"), listed, least)
-        listed = listed.unionByName(more).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    if some:
+        listed = _wide_pairs(coded.join(sized(broad, broadcast_bytes), ["r1", "r2"], "left_semi"), stored(listed, "p3-listed"), least, block_items)
     often = listed.where(F.col("n") >= least)
-    left = side(items.select(F.col("id").alias("a"), F.col("item").alias("x"), F.col("na").alias("nx")))
-    right = side(items.select(F.col("id").alias("b"), F.col("item").alias("y"), F.col("na").alias("ny")))
+    left = sized(items.select(F.col("id").alias("a"), F.col("item").alias("x"), F.col("na").alias("nx")), broadcast_bytes)
+    right = sized(items.select(F.col("id").alias("b"), F.col("item").alias("y"), F.col("na").alias("ny")), broadcast_bytes)
     n, nx, ny = (F.col(c).cast("decimal(38,0)") for c in ("n", "nx", "ny"))
     above = (n * F.lit(total).cast("decimal(20,0)")).cast("double") >= (F.lit(float(lift)) * nx.cast("double") * ny.cast("double"))
     first: Column = F.col("x") < F.col("y")

@@ -122,12 +122,23 @@ def test_pairs(spark, heavy, wide, broadcast):
     items = [f"i{k}" for k in range(26)]
     post = {(items[min(25, int(rng.expovariate(0.15)))], r % 3, r) for r in range(300) for _ in range(rng.choice([1, 3, 9]))} | {("pa", 0, r) for r in range(12)} | {("pb", 0, r) for r in range(12)} | {(None, 0, 1)}
     df = spark.createDataFrame([(i, a, b, "x") for i, a, b in post], "item string, r1 long, r2 long, na string")
-    got = pairs_together(df, least=4, lift=1.1, heavy_items=heavy, wide=wide, broadcast_items=broadcast)
+    got = pairs_together(df, least=4, lift=1.1, heavy_items=heavy, wide=wide, block_items=3, broadcast_bytes=broadcast)
     want = brute_pairs(post, 4, 1.1)
     assert ("pa", "pb") in {w[:2] for w in want} and len(want) > 5
     assert {(r.assoc_a, r.assoc_b, r.n, r.na, r.nb) for r in got.collect()} == want
 
 
+def test_items_of_a_hundred_thousand_wide_records(spark):
+    """Twelve items share 100,000 records of nine and more items; some rare pairs stand in narrow ones, too."""
+    wide = spark.range(100_000).select(F.col("id").alias("r1"), F.explode(F.expr("filter(sequence(0, 11), k -> pmod(xxhash64(id, k), 12) <> 0 and pmod(xxhash64(id, k + 50), 100) < 95)")).alias("k")).select(F.concat(F.lit("i"), "k").alias("item"), "r1", F.lit(0).cast("long").alias("r2"))
+    narrow = spark.range(2_000).select(F.explode(F.array(*[F.concat(F.lit("i"), F.pmod(F.col("id") * m, F.lit(12))) for m in (1, 5)])).alias("item"), (F.col("id") + 10**6).alias("r1"), F.lit(0).cast("long").alias("r2")).distinct()
+    post = wide.unionByName(narrow).persist()
+    got = {(r.assoc_a, r.assoc_b): r.n for r in pairs_together(post, least=5, lift=0.5, heavy_items=2, wide=8, block_items=5).collect()}
+    a, b = post.selectExpr("item a", "r1"), post.selectExpr("item b", "r1")
+    want = {(r.a, r.b): r["count"] for r in a.join(b, "r1").where("a < b").groupBy("a", "b").count().collect()}
+    assert len(want) == 66 and got == want
+
+
 def test_association_pairs(df, data):
     post = {(a, r, c) for _, r, c, _, a in kept(data)}
     assert {(r.assoc_a, r.assoc_b, r.n, r.na, r.nb) for r in association_pairs(df, least=2, lift=1.2).collect()} == brute_pairs(post, 2, 1.2)
@@ -140,7 +151,7 @@ def test_copies(spark, data, broadcast, monkeypatch):
 
     more = [(10_000 + i, "r", "x", 1, "Y" if i % 2 else "y!", "", "") for i in range(1500)] + [(20_000, "r", "Y", 1, "x", "", ""), (20_001, None, "a", None, "b", "", ""), (20_002, None, "b", None, "a", "", "")]
     if not broadcast:
-        monkeypatch.setitem(fd.grouped_copies.__kwdefaults__, "broadcast_groups", 0)
+        monkeypatch.setitem(fd.grouped_copies.__kwdefaults__, "broadcast_bytes", 0)
     groups = defaultdict(list)
     for i, r, c, p, a in kept(data + more):
         groups[r, p, *sorted((c, a))].append(i)
