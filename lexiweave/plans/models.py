@@ -17,34 +17,39 @@ from lexiweave.operators.svd import svd_vectors
 from lexiweave.operators.trials import forced_choice_trials, stacked_picks
 from lexiweave.plans.base import SQL_FC, Catalogue, sql_round
 from lexiweave.plans.geometry import _COMMON, _COMMON_ALL, _HID, _HS, _PR, _PR_ALL, PAIRS, _cells, _common, _hidden, word_split
+from lexiweave.sources.files import whole_texts
 from lexiweave.sources.tables import table
-from lexiweave.sources.workdir import stored
+from lexiweave.sources.workdir import scratch, stored
 from lexiweave.streaming.sentence_cap import run_available
 
 C = Catalogue()
 r6 = lambda c: F.round(c, 6) + F.lit(0.0)
 
 
-def _split_pairs(words: DataFrame, size: int) -> DataFrame:
+#: Seeds of the split of words and of the pairs, for the spread of a fit.
+SEEDS = (42, 43, 44)
+
+
+def _split_pairs(words: DataFrame, size: int, seed: int) -> DataFrame:
     """split, i, j (idx), place: sampled pairs within the training words and within the test words; no word is in both."""
-    split = stored(word_split(words.select("idx"), "idx", 42), "split")
+    split = stored(word_split(words.select("idx"), "idx", seed), "split")
     out = None
     for k, name in enumerate(("train", "test")):
         own = stored(dense_index(split.where(F.col("split") == name).select(F.col("idx").alias("word_idx")), ["word_idx"]).select("word_idx", (F.col("index") - 1).alias("idx")), "own")
-        p = sampled_pairs(own, size, k)
+        p = sampled_pairs(own, size, seed + k)
         p = p.join(own.select(F.col("idx").alias("i"), F.col("word_idx").alias("wi")), "i").join(own.select(F.col("idx").alias("j"), F.col("word_idx").alias("wj")), "j")
         p = dense_index(p.select(F.col("wi").alias("i"), F.col("wj").alias("j")), ["i", "j"]).select(F.lit(name).alias("split"), "i", "j", (F.col("index") - 1).alias("place"))
         out = p if out is None else out.unionByName(p)
     return stored(out, "split-pairs")
 
 
-def _ridge_rows(spark: SparkSession, d: str) -> DataFrame:
+def _ridge_rows(spark: SparkSession, d: str, seed: int = SEEDS[0], words: DataFrame | None = None) -> DataFrame:
     """model, layer, split, fold, the five features and y (the hidden similarity, centred over the training words only)."""
-    words = _common(spark, d)
-    pairs = _split_pairs(words, PAIRS)
+    words = _common(spark, d) if words is None else words
+    pairs = _split_pairs(words, PAIRS, seed)
     ij = pairs.select("i", "j")
     hidden = _hidden(spark, d, words).where("layer >= 1")
-    train = hidden.join(word_split(words.select("idx"), "idx", 42).where("split = 'train'").select("idx"), "idx", "left_semi")
+    train = hidden.join(word_split(words.select("idx"), "idx", seed).where("split = 'train'").select("idx"), "idx", "left_semi")
     y = stored(dense_sims(ij, centred(hidden, "model", "layer", of=train), "model", "layer"), "y")
     cells = _cells(spark, d, words)
     fa = sparse_sims(ij, cells, "cnt", words, "fa")
@@ -63,13 +68,30 @@ def _ridge_rows(spark: SparkSession, d: str) -> DataFrame:
     return df.withColumn("fold", F.when(F.col("split") == "train", fold_of(F.col("place"), F.col("n"))).otherwise(0))
 
 
+def _ridge_fits(spark: SparkSession, d: str) -> DataFrame:
+    words, rows = _common(spark, d), None
+    for seed in SEEDS:
+        own = _ridge_rows(spark, d, seed, words).withColumn("seed", F.lit(seed))
+        rows = own if rows is None else rows.unionByName(own)
+    fits = fit_groups(stored(rows, "ridge"), ["seed", "model", "layer"])  # one row per seed, model and layer
+    keys = ["seed", "model", "layer"]
+    columns = [*keys, *sorted(c for c in fits[0] if c not in keys)] if fits else keys
+    kinds = {"seed": "int", "model": "string", "layer": "int", "n_train": "long", "n_test": "long"}
+    return spark.createDataFrame([tuple(r[c] for c in columns) for r in fits], ", ".join(f"{c} {kinds.get(c, 'double')}" for c in columns))
+
+
 @C.query()
 def ridge_r2_by_layer(spark: SparkSession, d: str) -> DataFrame:
-    """R squared of five feature sets per model and layer on words that training never saw."""
-    rows = fit_groups(stored(_ridge_rows(spark, d), "ridge"), ["model", "layer"])
-    columns = ["model", "layer", *sorted(c for c in rows[0] if c not in ("model", "layer"))] if rows else ["model", "layer"]
-    kinds = {"model": "string", "layer": "int", "n_train": "long", "n_test": "long"}
-    return spark.createDataFrame([tuple(r[c] for c in columns) for r in rows], ", ".join(f"{c} {kinds.get(c, 'double')}" for c in columns))
+    """R squared of five feature sets per seed, model and layer on words that training never saw."""
+    return _ridge_fits(spark, d)
+
+
+@C.query()
+def ridge_seed_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Mean and sample deviation over the seeds of each R squared and each gain, per model and layer."""
+    f = _ridge_fits(spark, d)
+    values = [c for c in f.columns if c.startswith(("r2_", "delta_")) and not c.startswith("r2_train")]
+    return f.groupBy("model", "layer").agg(F.count(F.lit(1)).alias("n_seeds"), *[x for c in values for x in (F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_sd"))])
 
 
 @C.query()
@@ -158,7 +180,7 @@ def forced_choice_round(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _logs(spark: SparkSession, d: str) -> DataFrame:
-    """One log per model and round, written from its trials as the jobs write it."""
+    """One log file per model and round, written from its trials as the jobs write it, and read back as whole texts."""
     t = forced_choice_trials(table(spark, d, "fc_raw"))
     g = t.groupBy("model", "round_no").agg(F.count(F.lit(1)).alias("n"), F.count_if("compliant").alias("ok"), F.count_if(F.col("pick1").isNull() & F.col("pick2").isNull()).alias("none"))
     lines = F.format_string(
@@ -167,7 +189,9 @@ def _logs(spark: SparkSession, d: str) -> DataFrame:
         "ok", "n", F.col("n") - F.col("ok"), "none", F.col("n") - F.col("none"), "n", (F.col("n") - F.col("none")) * 100.0 / F.col("n"), F.col("none") * 5, "round_no",
         F.when(F.col("round_no") % 3 == 0, "Wrote final pools summary: x").when(F.col("round_no") % 3 == 1, "Traceback (most recent call last):").otherwise("running"),
     )
-    return g.select("model", "round_no", lines.alias("text"))
+    path = scratch(spark, "logs")
+    g.select("model", "round_no", lines.alias("text")).where("model is not null and round_no is not null").repartition("model", "round_no").write.partitionBy("model", "round_no").text(path)
+    return whole_texts(spark, path).select("model", F.col("round_no").cast("int").alias("round_no"), "text")
 
 
 _LOGN = f"""{SQL_FC}, g as (select model, round_no, count(*) as n, count(*) filter (where p1 is not null and p2 is not null) as ok, count(*) filter (where p1 is null and p2 is null) as none_ from fct group by 1, 2)"""
@@ -196,11 +220,19 @@ n as (select word, count(*) as n from tok where word in (select lower(word) from
 
 @C.query(_STREAM_SQL)
 def stream_sentence_cap(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as a stream, five sentences per word at most, state and sink in the shared folder."""
+    """Documents as a stream, five sentences per word at most, state and sink in the shared folder."""
     kept = run_available(spark, f"{d}/documents.parquet", table(spark, d, "vocabulary", "word"), 5, label=uuid.uuid4().hex)
     return kept.groupBy("word").agg(F.count(F.lit(1)).alias("n_sentences"))
 
 
+@C.query("select count(*) as n_rows from documents")
+def stream_progress(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that the batches of the stream have read, from its progress reports."""
+    seen: list[dict] = []
+    run_available(spark, f"{d}/documents.parquet", table(spark, d, "vocabulary", "word"), 5, label=uuid.uuid4().hex, progress=seen)
+    return spark.createDataFrame([(sum(p["n_rows"] for p in seen),)], "n_rows long")  # one number a batch
+
+
 @C.query(f"""with {_COMMON}, e as (select idx, embedding from wrd join embeddings on vec_id = vr)
     select {sql_round("avg(list_dot_product(a.embedding::double[], b.embedding::double[]))")} as mean_product, count(*) as n from e a join e b on b.idx = a.idx + 1""")
 def required_lookup(spark: SparkSession, d: str) -> DataFrame:

@@ -38,6 +38,11 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).option("sep", separator(path)).csv(path).columns
 
 
+def whole_texts(spark: SparkSession, path: str) -> DataFrame:
+    """text and the folders' columns: every file below a folder as one row, such as a job's log."""
+    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "text")
+
+
 def column_key(name: str) -> str:
     """A column name in lower case, without blanks and underscores."""
     return re.sub(r"[\s_]+", "", name.lower())
@@ -146,7 +151,7 @@ def write_table(df: DataFrame, path: str, *, form: str = "parquet", mode: str =
     mode: overwrite, append, ignore (skip if it is there) or errorifexists. CSV files have a header each.
     """
     w = df.write.mode(mode).partitionBy(*partitions)
-    (w.option("header", True).option("escape", '"').csv if form == "csv" else w.parquet)(path)
+    (w.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv if form == "csv" else w.parquet)(path)
 
 
 def summary_json(df: DataFrame) -> DataFrame:

@@ -47,17 +47,19 @@ def release(spark: SparkSession) -> None:
     _forget(spark, spark.sparkContext.applicationId)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: executors may be lost, nothing is computed twice.
-
-    What is stored stays until release(), or until the process ends.
-    """
-    spark = df.sparkSession
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; what is written there stays until release(), or until the process ends."""
     path = f"{shared_dir(spark)}/lexiweave/{label}-{uuid.uuid4().hex}"
     app = spark.sparkContext.applicationId
     if app not in _written:
         _written[app] = []
         atexit.register(_forget, spark, app)
     _written[app].append(path)
+    return path
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write df once to the shared folder and read it back: executors may be lost, nothing is computed twice."""
+    path = scratch(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

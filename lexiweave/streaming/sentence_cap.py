@@ -26,18 +26,28 @@ def _capped(n: int):
     return keep
 
 
+def _cut(n: int):
+    def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f.sort_values(["doc_id", "at"]).groupby("word").head(n)
+
+    return first
+
+
 def capped_sentences(documents: DataFrame, words: DataFrame, n: int) -> DataFrame:
     """word, doc_id, at, sentence of a stream of documents: at most n sentences per word, in the order of arrival.
 
-    The rows of a word go through one task, but only until it is full.
+    Of a batch of rows only the first n of each word are shuffled; those of a word go through one task.
     """
-    held = sentences_of_words(documents, words, n=None)
+    held = sentences_of_words(documents, words, n=None).select("word", "doc_id", "at", "sentence").mapInPandas(_cut(n), "word string, doc_id long, at int, sentence string")
     return held.groupBy("word").applyInPandasWithState(_capped(n), "word string, doc_id long, at int, sentence string", "n int", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_available(spark: SparkSession, source: str, words: DataFrame, n: int, *, label: str, files_per_trigger: int = 8) -> DataFrame:
+def run_available(spark: SparkSession, source: str, words: DataFrame, n: int, *, label: str, files_per_trigger: int = 8, progress: list[dict] | None = None) -> DataFrame:
     """All documents that are there by now, as a stream of parquet files; the sentences that were kept.
 
+    progress takes a batch_id, n_rows (read from the source) and n_states (words met so far) for every batch of this run.
+
     The sink and its checkpoint lie in the shared folder: a query that starts anew with the same label
     goes on where it stopped, and repeats nothing.
     """
@@ -48,6 +58,8 @@ def run_available(spark: SparkSession, source: str, words: DataFrame, n: int, *,
     kept = capped_sentences(documents, words, n)
     query = kept.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
+    if progress is not None:
+        progress += [{"batch_id": int(p["batchId"]), "n_rows": int(p["numInputRows"]), "n_states": sum(int(o["numRowsTotal"]) for o in p["stateOperators"])} for p in query.recentProgress]
     return spark.read.schema("word string, doc_id long, at int, sentence string").parquet(f"{place}/out")
 
 
