@@ -102,6 +102,16 @@ prs as (select x.assoc as assoc_a, y.assoc as assoc_b, count(*) as n from post x
         on x.run_file = y.run_file and x.cue = y.cue and x.assoc < y.assoc group by 1, 2 having count(*) >= 5),
 res as (select assoc_a, assoc_b, n, a.na as na, b.na as nb, n_all as n_records, round(n * n_all::double / (a.na::double * b.na), 4) as lift
         from prs join cnt a on a.assoc = assoc_a join cnt b on b.assoc = assoc_b cross join trials where n * n_all >= 6 * a.na * b.na)"""
+_MARKUP = (
+    r"<!--.*?-->|</?[a-zA-Z][^<>]*>|&(?:[a-zA-Z][a-zA-Z0-9]{1,30}|#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6});"
+    r"|\[/?(?:b|i|u|s|q|url|img|quote|color|size|list|code|center|font|spoiler|\*)(?:=[^\[\]]*)?\]"
+)
+#: Ten words in a row of every document and item, and where both have them.
+_TENS = f"""dw as (select doc_id, regexp_extract_all(lower(regexp_replace(text, '{_MARKUP}', ' ', 'gis')), '[\\p{{L}}\\p{{N}}]+') as w from documents where doc_id is not null and text is not null),
+iw as (select item_id, regexp_extract_all(lower(regexp_replace(item_text, '{_MARKUP}', ' ', 'gis')), '[\\p{{L}}\\p{{N}}]+') as w from eval_items where item_id is not null and item_text is not null),
+dg as (select doc_id, p, array_to_string(w[p:p + 9], ' ') as g from (select doc_id, w, unnest(generate_series(1, len(w) - 9)) as p from dw)),
+ig as (select item_id, p, array_to_string(w[p:p + 9], ' ') as g from (select item_id, w, unnest(generate_series(1, len(w) - 9)) as p from iw)),
+hit as (select doc_id, item_id, dg.p - 1 as dp, ig.p - 1 as ip from dg join ig using (g))"""
 _KEY = "run_file, assoc_pos, least(cue, assoc), greatest(cue, assoc)"
 
 SQL: dict[str, str] = {
@@ -116,6 +126,10 @@ SQL: dict[str, str] = {
     "p3_lift": f"{_PAIRS} select assoc_a, assoc_b, n, na, nb, n_records, lift from res",
     "p4_found": f"""with {_ROWS}, f as (select row_id, min(row_id) over (partition by {_KEY}) as first_id from rows_)
         select first_id, row_id from f where row_id <> first_id""",
+    "p9_found": f"with {_TENS} select distinct doc_id, item_id from hit",
+    "p9_clean": f"with {_TENS} select doc_id, text from documents where doc_id is null or doc_id not in (select doc_id from hit)",
+    "p9_passages": f"""with {_TENS}, run as (select *, dp - row_number() over (partition by doc_id, item_id, dp - ip order by dp) as r from hit)
+        select doc_id, item_id, min(ip) as item_word, min(dp) as doc_word, count(*) + 9 as n_words from run group by doc_id, item_id, dp - ip, r""",
     "p8_roundtrip": "select doc_id, coalesce(text, '') as text from documents",
     "p4_records": f"with {_ROWS} select min(row_id) as first_id, count(*) as n_copies from rows_ group by {_KEY}",
 }
