@@ -1,7 +1,5 @@
 """Dense vectors per word and layer: centring, cosines between all words of bounded blocks, nearest neighbours."""
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -29,25 +27,31 @@ def centred(vectors: DataFrame, *by: str, of: DataFrame | None = None) -> DataFr
     return df.withColumn("vec", normalized(minus(F.col("vec"), F.col("mean")))).drop("mean")
 
 
-def _best_of_block(k: int, columns: list[str]):
-    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for key, block in pd.concat(list(frames)).groupby(columns, dropna=False, sort=False):
-            left, right = block[block.side == 0], block[block.side == 1]
-            if not len(left) or not len(right):
-                continue
-            sims = np.stack(left.vec.to_list()) @ np.stack(right.vec.to_list()).T
-            wi, wj = left.word.to_numpy(), right.word.to_numpy()
-            sims[wi[:, None] == wj[None, :]] = -np.inf
-            # ties go to the smaller word: sort by it first, then by similarity, stably
-            order = np.argsort(wj, kind="stable")
-            sims, wj = np.round(sims[:, order], 12), wj[order]
-            at = np.argsort(-sims, axis=1, kind="stable")[:, : min(k, sims.shape[1])]
-            rows = np.repeat(np.arange(len(wi)), at.shape[1])
-            out = pd.DataFrame({"word": wi[rows], "neighbour": wj[at.ravel()], "sim": sims[rows, at.ravel()]})
-            out = out[np.isfinite(out.sim)]
-            for c, v in zip(columns[2:], key[2:]):
-                out[c] = v
-            yield out[[*columns[2:], "word", "neighbour", "sim"]]
+def _best_of(sims: np.ndarray, word: np.ndarray, other: np.ndarray, k: int) -> pd.DataFrame:
+    """word, neighbour, sim of the k largest entries of each row; ties (to 12 digits) go to the smaller word: sorted by it first, then by similarity, stably."""
+    order = np.argsort(other, kind="stable")
+    sims, other = np.round(sims[:, order], 12), other[order]
+    at = np.argsort(-sims, axis=1, kind="stable")[:, : min(k, sims.shape[1])]
+    rows = np.repeat(np.arange(len(word)), at.shape[1])
+    out = pd.DataFrame({"word": word[rows], "neighbour": other[at.ravel()], "sim": sims[rows, at.ravel()]})
+    return out[np.isfinite(out.sim)]
+
+
+def _best_of_blocks(k: int, by: list[str], columns: list[str]):
+    """The k best of each word of two blocks in the other one, both ways from one product; or within one block."""
+
+    def best(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
+        left = block[block.side == 0]
+        right = left if key[0] == key[1] else block[block.side == 1]
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=columns)
+        sims = np.stack(left.vec.to_list()) @ np.stack(right.vec.to_list()).T
+        wi, wj = left.word.to_numpy(), right.word.to_numpy()
+        sims[wi[:, None] == wj[None, :]] = -np.inf
+        out = pd.concat([_best_of(sims, wi, wj, k)] + ([] if key[0] == key[1] else [_best_of(sims.T, wj, wi, k)]))
+        for c, v in zip(by, key[2:]):
+            out[c] = v
+        return out[columns]
 
     return best
 
@@ -56,19 +60,16 @@ def nearest(vectors: DataFrame, k: int, *by: str, words: int | None = None, bloc
     """by..., word, neighbour, sim, place: the k nearest words of each word by the dot product of unit vectors.
 
     Exact: words are parted into blocks, every pair of blocks is one matrix product in a task, which
-    hands on only the k best of each word, and a window takes the best of these. Ties (to 12 digits) go to the smaller
+    hands on only the k best of each word of either, and a window takes the best of these. Ties (to 12 digits) go to the smaller
     word. A word is not its own neighbour; with n words there are at most n - 1 neighbours.
     """
     words = vectors.select("word").distinct().count() if words is None else words
     blocks = max(1, -(-words // block))
     own = vectors.withColumn("own", F.pmod(F.xxhash64("word"), F.lit(blocks)))
     sides = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    left = sides.select(*by, F.col("own").alias("bi"), F.col("other").alias("bj"), F.lit(0).alias("side"), "word", "vec")
-    right = sides.select(*by, F.col("other").alias("bi"), F.col("own").alias("bj"), F.lit(1).alias("side"), "word", "vec")
+    keyed = sides.select(*by, F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), (F.col("own") > F.col("other")).cast("int").alias("side"), "word", "vec")
     schema = StructType([*vectors.select(*by).schema.fields, *(StructField(c, vectors.schema["word"].dataType) for c in ("word", "neighbour"))]).add("sim", "double")
-    grouped = left.unionByName(right)
-    best = _best_of_block(k, ["bi", "bj", *by])
-    parts = grouped.groupBy("bi", "bj", *by).applyInPandas(lambda pdf: pd.concat([*best(iter([pdf]))] or [pd.DataFrame(columns=schema.names)]), schema)
+    parts = keyed.groupBy("bi", "bj", *by).applyInPandas(_best_of_blocks(k, list(by), schema.names), schema)
     w = Window.partitionBy(*by, "word").orderBy(F.col("sim").desc(), "neighbour")
     return parts.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 

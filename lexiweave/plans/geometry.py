@@ -332,6 +332,99 @@ def nn_overlap_at_k(spark: SparkSession, d: str) -> DataFrame:
     return out.select("model", F.col("layer").cast("long").alias("layer"), r6(F.col("overlap")).alias("overlap"))
 
 
+#: Numbers of neighbours that are looked at in one run.
+KS = (5, 10, 20, 50, 100, 200)
+_HALF = """
+el as (select idx, label % 2 = 0 as valid, [x::double for x in embedding[1:8]] as a, [x::double for x in embedding[9:16]] as b from embeddings join wrd on vr = vec_id),
+eu as (select idx, valid, [x / greatest(sqrt(list_dot_product(a, a)), 1e-12) for x in a] as ft, [x / greatest(sqrt(list_dot_product(b, b)), 1e-12) for x in b] as bert from el)"""
+_FC_COS = f"""
+fcs as (select {sql_clean("input")} as cue, {sql_clean("p1")} as response from fct union all select {sql_clean("input")}, {sql_clean("p2")} from fct),
+fcc as (select cue, response, count(*)::double as n from fcs where cue is not null and response is not null and cue <> response and cue in (select word from wrd) group by 1, 2),
+fcu as (select cue, response, n / sqrt(sum(n * n) over (partition by cue)) as w from fcc),
+fcos as (select a.cue as cue_i, b.cue as cue_j, sum(a.w * b.w) as sim from fcu a join fcu b on a.response = b.response and a.cue < b.cue group by 1, 2)"""
+
+
+def _static(spark: SparkSession, d: str, words: DataFrame) -> DataFrame:
+    """idx, valid, ft, bert: two static spaces, the halves of the embeddings, at unit length without centring; words of odd labels are not valid in the first."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").cast("int").alias("vr"), "label", F.col("embedding").cast("array<double>").alias("e")).join(words.select("vr", "idx"), "vr")
+    return e.select("idx", (F.col("label") % 2 == 0).alias("valid"), normalized(F.slice("e", 1, 8)).alias("ft"), normalized(F.slice("e", 9, 8)).alias("bert"))
+
+
+@C.query(f"""with {SQL_FC}, {_COMMON}, {_HID}, {_PR}, {_HS}, {_HALF}, {_FC_COS},
+    o as (select i, j, coalesce(sim, 0) as fc, case when x.valid and y.valid then list_dot_product(x.ft, y.ft) end as ft, list_dot_product(x.bert, y.bert) as bert
+          from prs join wrd a on a.idx = i join wrd b on b.idx = j join eu x on x.idx = i join eu y on y.idx = j left join fcos on cue_i = least(a.word, b.word) and cue_j = greatest(a.word, b.word)),
+    j_ as (select model, layer, sim as h, fc, ft, bert from hs join o using (i, j) where layer >= 1)
+    select model, layer, count(*) as n_pairs, count(ft) as n_valid, {sql_round("covar_pop(h, fc) / nullif(stddev_pop(h) * stddev_pop(fc), 0)")} as pearson_fc,
+      {sql_round("covar_pop(h, ft) filter (where ft is not null) / nullif(stddev_pop(h) filter (where ft is not null) * stddev_pop(ft), 0)")} as pearson_ft,
+      {sql_round("covar_pop(h, bert) / nullif(stddev_pop(h) * stddev_pop(bert), 0)")} as pearson_bert from j_ group by 1, 2""")
+def rsa_references(spark: SparkSession, d: str) -> DataFrame:
+    """Correlation of hidden similarities with forced choice, with the first static space within its valid words, and with the second one, over the sampled pairs."""
+    words = _common(spark, d)
+    pairs = stored(sampled_pairs(words, PAIRS), "pairs")
+    sims = dense_sims(pairs, centred(_hidden(spark, d, words), "model", "layer").where("layer >= 1"), "model", "layer")
+    picks = N.count_pairs(stacked_picks(forced_choice_trials(table(spark, d, "fc_raw")))).join(words.select(F.col("word").alias("cue")), "cue", "left_semi")
+    static = stored(_static(spark, d, words), "static")
+    ft = dense_sims(pairs, static.where("valid").select("idx", F.col("ft").alias("vec")))
+    others = {"fc": sparse_sims(pairs, stored(picks, "picks"), "cnt", words), "ft": ft, "bert": dense_sims(pairs, static.select("idx", F.col("bert").alias("vec")))}
+    out = correlations(stored(sims, "sims"), others, "model", "layer").crossJoin(F.broadcast(ft.agg(F.count(F.lit(1)).alias("n_valid"))))  # one number
+    return out.select("model", F.col("layer").cast("long").alias("layer"), "n_pairs", "n_valid", *[r6(F.col(f"pearson_{c}")).alias(f"pearson_{c}") for c in others])
+
+
+def _sql_near(name: str, of: str, by: str, vec: str, where: str = "true") -> str:
+    keys = "".join(f"a.{b}, " for b in by.split()) if by else ""
+    same = "".join(f" and a.{b} = b.{b}" for b in by.split())
+    return f"""
+{name} as (select {keys}a.idx as word, b.idx as neighbour, row_number() over (partition by {keys}a.idx order by round(list_dot_product(a.{vec}, b.{vec}), 12) desc, b.idx) as place
+    from (select * from {of} where {where}) a join (select * from {of} where {where}) b on a.idx <> b.idx{same} qualify place <= {KS[-1]})"""
+
+
+@C.query(f"""with {_COMMON}, {_HID}, {_HALF}, {_sql_cos('ppmi')}, hz as (select h.*, valid from hv h join eu using (idx) where layer >= 1),
+    {_sql_near("hn", "hz", "model layer", "v")}, {_sql_near("hf", "hz", "model layer", "v", "valid")}, {_sql_near("nf", "eu", "", "ft", "valid")}, {_sql_near("nb", "eu", "", "bert")},
+    bw as (select cue_i as word, cue_j as neighbour, round(sim, 9) as sim from cosv union all select cue_j, cue_i, round(sim, 9) from cosv),
+    na as (select a.idx as word, b.idx as neighbour, place from (select word, neighbour, row_number() over (partition by word order by sim desc, neighbour) as place from bw qualify place <= {KS[-1]}) f
+           join wrd a on a.word = f.word join wrd b on b.word = f.neighbour),
+    met as (select 'fa' as reference, model, layer, greatest(hn.place, na.place) as p from hn join na using (word, neighbour) union all
+            select 'bert', model, layer, greatest(hn.place, nb.place) from hn join nb using (word, neighbour) union all
+            select 'ft', model, layer, greatest(hf.place, nf.place) from hf join nf using (word, neighbour)),
+    n as (select 'fa' as reference, count(*) as n from eu union all select 'bert', count(*) from eu union all select 'ft', count(*) from eu where valid),
+    g as (select distinct reference, model, layer, k, n, least(k, n - 1) as k_eff from n cross join (select distinct model, layer from hz) cross join (select unnest({list(KS)}) as k))
+    select g.reference, g.model, g.layer, g.k, g.k_eff, {sql_round("count(p) / g.k_eff::double / max(n)")} as overlap from g left join met on met.reference = g.reference and met.model = g.model and met.layer = g.layer and p <= g.k
+    group by 1, 2, 3, 4, 5""")
+def nn_overlap_all_k(spark: SparkSession, d: str) -> DataFrame:
+    """nn_overlap_at_k for all k in one run and further reference spaces; with n words there are k_eff = min(k, n - 1) neighbours.
+
+    The first static space is compared among its valid words only, whose hidden neighbours are taken
+    anew. A pair of neighbours counts for every k from the greater of its two places on, so each list is
+    made and joined once.
+    """
+    words = _common(spark, d)
+    static = stored(_static(spark, d, words), "static")
+    hidden = stored(centred(_hidden(spark, d, words), "model", "layer").where("layer >= 1").withColumnRenamed("idx", "word"), "hidden")
+    valid = static.where("valid").select(F.col("idx").alias("word"))
+    top = KS[-1]
+    fa = N.nearest_by_cosine(_cells(spark, d, words), "ppmi", top).join(words.select("word", "idx"), "word").join(words.select(F.col("word").alias("neighbour"), F.col("idx").alias("jdx")), "neighbour")
+    mine = stored(nearest(hidden, top, "model", "layer"), "near")
+    sides = {
+        "fa": (mine, fa.select(F.col("idx").alias("word"), F.col("jdx").alias("neighbour"), "place")),
+        "bert": (mine, nearest(static.select(F.col("idx").alias("word"), F.col("bert").alias("vec")), top)),
+        "ft": (nearest(hidden.join(valid, "word", "left_semi"), top, "model", "layer"), nearest(static.where("valid").select(F.col("idx").alias("word"), F.col("ft").alias("vec")), top)),
+    }
+    n = static.agg(F.count(F.lit(1)).alias("n_all"), F.count_if("valid").alias("n_valid"))
+    groups = hidden.select("model", "layer").distinct().crossJoin(F.broadcast(n)).select("*", F.explode(F.array(*map(F.lit, KS))).alias("k"))  # one row
+    out = None
+    for name, (left, right) in sides.items():
+        met = left.withColumnRenamed("place", "p").join(right.select("word", "neighbour", F.col("place").alias("q")), ["word", "neighbour"])
+        counts = met.groupBy("model", "layer").agg(*[F.count_if(F.greatest("p", "q") <= k).alias(f"k{k}") for k in KS])
+        counts = counts.select("model", "layer", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"k{k}").alias("shared")) for k in KS])).alias("s")).select("model", "layer", "s.k", "s.shared")
+        size = F.col("n_valid" if name == "ft" else "n_all")
+        rows = groups.join(counts, ["model", "layer", "k"], "left").withColumn("k_eff", F.least(F.col("k").cast("long"), size - 1)).select(
+            F.lit(name).alias("reference"), "model", F.col("layer").cast("long").alias("layer"), F.col("k").cast("long").alias("k"), "k_eff",
+            r6(F.try_divide(F.coalesce("shared", F.lit(0)).cast("double"), F.col("k_eff") * size)).alias("overlap"),
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @C.query(f"""with {_COMMON}, {_HID}, s as (select a.model, a.idx as word, b.idx as neighbour, round(avg(list_dot_product(a.v, b.v)), 9) as sim
       from hv a join hv b on a.model = b.model and a.layer = b.layer and a.idx <> b.idx where a.layer >= 1 group by 1, 2, 3),
     t as (select m.model, word, neighbour, sim from (select distinct model from s) m join s on s.model <> m.model),
