@@ -51,6 +51,8 @@ _NUMBER_LAST = re.compile(
     re.I,
 )
 _STREET_BEFORE = re.compile(rf"(?:{_ROMANCE}) |c/|(?:{_GERMAN}),? $|\b(?-i:Am|An der|Auf der|Zum|Zur|Alte|Neue|Große|Lange|Kurze) ", re.I)
+#: What every text has that _STREET_BEFORE finds, looked for first.
+_STREET_SIGNS = tuple(w.replace("\\.?", "").replace("\\.", ".").lower() for w in f"{_ROMANCE}|{_GERMAN}|am |an der |auf der |zum |zur |alte |neue |große |lange |kurze ".split("|"))
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _CAP = r"[A-ZÀ-ÖØ-Þ](?:[^\W\d_]|['’](?=[A-Z]))+(?:-[A-ZÀ-ÖØ-Þ][^\W\d_]+)*"
 _CAP_RUN = re.compile(rf"(?<![\w@.+-]){_CAP}(?:(?: [A-Z]\.)* {_CAP})+(?![\w@]|[._+-]\w)")
@@ -58,7 +60,16 @@ _TURNED = re.compile(rf"(?<![\w@.+-]){_CAP}, {_CAP}(?: [A-Z]\.)?(?![\w@]|[._+-]\
 #: Words that introduce a person, in five languages: titles, telling one's name, closings of letters, telling who wrote.
 _TITLES = "mr mrs ms miss mx dr prof professor sir madam herr frau fräulein señor señora sr sra don doña monsieur madame mme mlle signor signora sig dott".split()
 _CALLED = ("my name is", "name is", "name's", "i am", "i'm", "this is", "name:", "name =", "name=", "called", "signed", "signed:", "regards,", "regards", "sincerely,", "sincerely", "yours,", "cheers,", "best,", "love,", "mein name ist", "ich heiße", "ich heisse", "ich bin", "grüße,", "gruß,", "grüßen,", "je m'appelle", "je suis", "mon nom est", "cordialement,", "amitiés,", "me llamo", "mi nombre es", "soy", "saludos,", "atentamente,", "mi chiamo", "sono", "saluti,", "written by", "author:", "contact:", "contact", "dear", "hello", "hi")
-_BEFORE_NAME = re.compile(rf"(?:^|[^\w])(?:{'|'.join(rf'{t}\.?' for t in _TITLES)}|{'|'.join(re.escape(c) for c in _CALLED)})\s?$", re.I)
+_INTRODUCING = (*_CALLED, *_TITLES, *(f"{t}." for t in _TITLES))
+
+
+def introduced(before: str) -> bool:
+    """True for a line that ends with words that introduce a person."""
+    low = before.lower()
+    low = low[:-1] if low[-1:].isspace() else low
+    return low.endswith(_INTRODUCING) and any(low.endswith(w) and not low[: -len(w)][-1:].isalnum() for w in _INTRODUCING)
+
+
 _AFTER_NAME = re.compile(r",? (?:wrote|writes|said|says|schrieb|schreibt|a écrit|écrit|escribió|escribe|ha scritto|scrive)\b ?:?|['’]s? (?:phone|email|address|number)", re.I)
 #: Words that stand in capitals beside others but are no person's name: days, months, function words, greetings, titles, points of the compass, kinds of places and bodies.
 _NO_NAME = frozenset(
@@ -154,7 +165,8 @@ def _candidates(text: str, given: KnownWords) -> list[tuple[str, int, int, bool]
             if not any(w in _NO_STREET for w in m[0].lower().split()[1:-1]):
                 places.add(m.span())
         start = max(text.rfind("\n", 0, a) + 1, a - 70)
-        if _STREET_BEFORE.search(text, start, a):
+        ahead = text[start:a].lower()
+        if any(w in ahead for w in _STREET_SIGNS) and _STREET_BEFORE.search(text, start, a):
             places |= {m.span() for m in _NUMBER_LAST.finditer(text, start, min(len(text), b + 3)) if m.end() >= b and a < m.end()}
     out += [("phone", *s, False) for s in numbers]
     out += [("id_number", *s, False) for s in codes | {s for s in numbers if 8 <= sum(c.isdigit() for c in text[s[0] : s[1]]) <= 11}]
@@ -241,7 +253,7 @@ def _votes(kind: str, text: str, a: int, b: int, longer: bool, given: KnownWords
     form = -1 if longer or set(parts) & _NO_NAME or len(parts) < 2 else 1 if capitals else 0
     is_given, is_family = first in given, last in family or all(x in family for x in last.split("-"))
     listed = 1 if is_given and (is_family or capitals) else 0 if is_given or (is_family and capitals) else -1
-    intro = _BEFORE_NAME.search(before) or _AFTER_NAME.match(after)
+    intro = introduced(before) or _AFTER_NAME.match(after)
     alone = not before.strip(" >-–—~*_|:;&=") and not re.match(r"[^\n|;]*\w", after)
     return [form, listed, 1 if intro or alone else -1 if not capitals and not (is_given and is_family) else 0]
 
@@ -276,7 +288,7 @@ def _introduced(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for a, b, longer in capital_pairs(text):
                 parts = [p.lower() for p in _TOKEN.findall(text[a:b]) if len(p) > 1]
                 if len(parts) == 2 and not set(parts) & _NO_NAME:
-                    told = not longer and bool(_BEFORE_NAME.search(_line_before(text, a)) or _AFTER_NAME.match(text[b : b + 24]))
+                    told = not longer and bool(introduced(_line_before(text, a)) or _AFTER_NAME.match(text[b : b + 24]))
                     found |= {((0, parts[0]), told), *(((1, w), told) for w in {parts[1], *parts[1].split("-")})}
             for key, told in found:
                 pairs[key] += 1
