@@ -1,5 +1,6 @@
 """Files of JSON lines whose fields come, go, change their name or their type."""
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,39 +17,40 @@ def _raw_type(v: str) -> Column:
     )
 
 
-_LINE = ("row", "job_id", "run_file", "written_at", "rec_id", "line_no", "readable")
+_LINE = ("row", "job_id", "run_file", "rec_id", "line_no", "readable")
 
 
-def path_values(lines: DataFrame) -> DataFrame:
-    """row (a key of the line), job_id, run_file, written_at, rec_id, line_no, readable, path, raw_type, value of every field of every line.
+def path_values(lines: DataFrame, keep: Sequence[str] = _LINE) -> DataFrame:
+    """The line's columns named in keep (row is a key of the line), path, raw_type, value of every field of every line.
 
     Readable is a line that is one whole JSON object; null, empty, cut-off and other lines give one row
     without a path, as do objects without fields. raw_type is boolean, integer, decimal, string, array,
     object (one without fields) or null. Nested objects give paths with dots, to any depth. Integers of
     over 38 digits count as decimal. The result is stored: every line is parsed once.
     """
-    base = lines.select("job_id", "run_file", "written_at", "rec_id", "line_no", F.expr("try_parse_json(raw_line)").alias("v"), F.monotonically_increasing_id().alias("row"))
+    base = lines.select("job_id", "run_file", "rec_id", "line_no", F.expr("try_parse_json(raw_line)").alias("v"), F.monotonically_increasing_id().alias("row"))
     base = base.withColumn("readable", F.coalesce(F.expr("schema_of_variant(v)").startswith("OBJECT"), F.lit(False)))
     level, path, out = base.withColumn("v", F.when(F.col("readable"), F.col("v"))), F.col("key"), None
     while True:
         # A generator over (key, value) pairs of an object; the variant stays in the JVM.
         opened = level.lateralJoin(level.sparkSession.tvf.variant_explode_outer(F.col("v").outer()))
-        opened = opened.select(*_LINE, path.alias("path"), F.col("value").alias("v")).withColumn("raw_type", F.when(F.col("path").isNotNull(), _raw_type("v")))
+        opened = opened.select(*keep, path.alias("path"), F.col("value").alias("v")).withColumn("raw_type", F.when(F.col("path").isNotNull(), _raw_type("v")))
         nested = F.coalesce((F.col("raw_type") == "object") & (F.expr("cast(v as string)") != "{}"), F.lit(False))
-        opened = stored(opened.select(*_LINE, "path", "raw_type", F.when(~nested, F.expr("cast(v as string)")).alias("value"), F.when(nested, F.col("v")).alias("v"), nested.alias("nested")), "p5-values")
-        rows = opened.where("not nested").select(*_LINE, "path", "raw_type", "value")
+        opened = stored(opened.select(*keep, "path", "raw_type", F.when(~nested, F.expr("cast(v as string)")).alias("value"), F.when(nested, F.col("v")).alias("v"), nested.alias("nested")), "p5-values")
+        rows = opened.where("not nested").select(*keep, "path", "raw_type", "value")
         out = rows if out is None else out.unionByName(rows)
-        level, path = opened.where("nested").select(*_LINE, F.col("path").alias("above"), "v"), F.concat("above", F.lit("."), "key")
+        level, path = opened.where("nested").select(*keep, F.col("path").alias("above"), "v"), F.concat("above", F.lit("."), "key")
         if level.isEmpty():
             return out
 
 
 @dataclass
 class Drift:
-    """fields: one row per file and path, with raw_type (null if it has nulls only) and role. files: every file with the one before it."""
+    """fields: one row per file and path, with raw_type (null if it has nulls only) and role. files: every file with the one before it. strings: the different telling strings of every file and path."""
 
     fields: DataFrame
     files: DataFrame
+    strings: DataFrame
 
 
 #: Strings that say what a path holds are looked at by their separators: an answer is a list.
@@ -71,7 +73,7 @@ def file_statistics(lines: DataFrame, values: DataFrame | None = None) -> Drift:
     large one. A path takes its role in the file, else the role it has most often in all files; flags
     and labels have none.
     """
-    values = path_values(lines) if values is None else values
+    values = path_values(lines, ("job_id", "run_file")) if values is None else values
     values = values.where("path is not null")
     number = F.expr("try_cast(value as double)")
     run = F.expr("try_cast(regexp_extract(run_file, '_run_?0*([0-9]+)', 1) as double)")
@@ -89,8 +91,8 @@ def file_statistics(lines: DataFrame, values: DataFrame | None = None) -> Drift:
     steady = (F.col("n") > 0) & (F.col("n_number") == F.col("n")) & (F.col("low") == F.col("high")) & ~F.col("raw_type").isin("boolean") & run.isNotNull()
     fields = stored(fields.withColumn("held", F.when(steady, F.concat(F.lit("constant:"), distance))), "p5-fields")
 
-    each = values.where(_TELLING).groupBy("run_file", "path", "value").agg(F.count(F.lit(1)).alias("n"))
-    per_file = each.groupBy("run_file", "path").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"), F.sum(F.when(F.col("value").rlike(_LISTED), F.col("n")).otherwise(0)).alias("lists"), F.min("value").alias("only"))
+    each = stored(values.where(_TELLING).groupBy("job_id", "run_file", "path", "value").agg(F.count(F.lit(1)).alias("n")), "p5-strings")
+    per_file = each.groupBy("job_id", "run_file", "path").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"), F.sum(F.when(F.col("value").rlike(_LISTED), F.col("n")).otherwise(0)).alias("lists"), F.min("value").alias("only"))
     many = F.col("n") > 1
     strings = per_file.groupBy("path").agg(
         F.sum("n").alias("n"), F.sum("lists").alias("lists"), F.sum(F.when(many, F.col("n"))).alias("n_many"), F.sum(F.when(many, F.col("kinds"))).alias("kinds_many"),
@@ -107,7 +109,7 @@ def file_statistics(lines: DataFrame, values: DataFrame | None = None) -> Drift:
 
     listed = stored(lines.groupBy("job_id", "run_file").agg(F.min("written_at").alias("written_at")), "p5-files")
     files = with_previous(listed, "job_id", ["written_at", "run_file"], "run_file", "before", rows=listed.count())
-    return Drift(stored(fields, "p5-roles"), files)
+    return Drift(stored(fields, "p5-roles"), files, each)
 
 
 def changes(lines: DataFrame) -> DataFrame:
@@ -119,8 +121,7 @@ def changes(lines: DataFrame) -> DataFrame:
     no type, so they are never retyped. The first file of a job has no changes; one without readable
     lines loses all its fields.
     """
-    values = path_values(lines)
-    drift = file_statistics(lines, values)
+    drift = file_statistics(lines, path_values(lines, ("job_id", "run_file")))
     fields = drift.fields
     pairs = drift.files.where("before is not null").select("job_id", "run_file", "before")
     new = pairs.join(fields, ["job_id", "run_file"]).select("job_id", "run_file", "path", F.col("raw_type").alias("new_type"), F.col("role").alias("new_role"))
@@ -130,7 +131,7 @@ def changes(lines: DataFrame) -> DataFrame:
     retyped = both.where("was and is").select("run_file", F.lit("retyped").alias("change_kind"), F.col("path").alias("old_field"), F.col("path").alias("new_field"))
     gone = both.where("is is null").select("job_id", "run_file", "before", F.col("path").alias("old_field"), F.col("old_role").alias("role"))
     come = both.where("was is null").select("job_id", "run_file", F.col("path").alias("new_field"), F.col("new_role").alias("role"))
-    same = _same_strings(values, gone.where("role is null").drop("role"), come.where("role is null").drop("role"))
+    same = _same_strings(drift.strings, gone.where("role is null").drop("role"), come.where("role is null").drop("role"))
     gone = gone.join(same.select("job_id", "run_file", "old_field", "twin"), ["job_id", "run_file", "old_field"], "left")
     come = come.join(same.select("job_id", "run_file", "new_field", "twin"), ["job_id", "run_file", "new_field"], "left")
     gone = gone.select("job_id", "run_file", "old_field", F.coalesce("role", "twin", F.concat(F.lit("gone "), "old_field")).alias("role"))
@@ -142,9 +143,9 @@ def changes(lines: DataFrame) -> DataFrame:
     return moved.unionByName(retyped)
 
 
-def _same_strings(values: DataFrame, gone: DataFrame, come: DataFrame) -> DataFrame:
+def _same_strings(strings: DataFrame, gone: DataFrame, come: DataFrame) -> DataFrame:
     """job_id, run_file, old_field, new_field, twin (a name of the pair) of fields without a role that hold the same strings before and after; each field is in one pair at most."""
-    held = values.where(_TELLING).select("job_id", "run_file", "path", "value").distinct()
+    held = strings.select("job_id", "run_file", "path", "value")
     before = gone.join(held.withColumnsRenamed({"run_file": "before", "path": "old_field"}), ["job_id", "before", "old_field"])
     after = come.join(held.withColumnRenamed("path", "new_field"), ["job_id", "run_file", "new_field"])
     file = ["job_id", "run_file"]
@@ -154,7 +155,7 @@ def _same_strings(values: DataFrame, gone: DataFrame, come: DataFrame) -> DataFr
     best = F.struct("shared", "old_field", "new_field")
     for side in ("old_field", "new_field"):  # a file has few fields, so its pairs of fields are few
         close = close.join(close.groupBy(*file, side).agg(F.max(best).alias("best")), [*file, side]).where(best == F.col("best")).drop("best")
-    return close.withColumn("twin", F.concat(F.lit("same "), "old_field"))
+    return stored(close.withColumn("twin", F.concat(F.lit("same "), "old_field")), "p5-twins")
 
 
 _SPARK_TYPES = {"integer": "bigint", "decimal": "double", "boolean": "boolean", "string": "string"}
