@@ -12,6 +12,8 @@ SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 #: States and parts kept in memory by one task; the tables start anew beyond that.
 MOST_STATES = 200_000
 MOST_PARTS = 300_000
+#: Pairs of tokens whose order is remembered.
+MOST_FOLLOWS = 1_000_000
 
 
 def read_ranks(path: str) -> bytes:
@@ -76,6 +78,8 @@ class Transducer:
         key = (last, token)
         ok = self.follows.get(key)
         if ok is None:
+            if len(self.follows) > MOST_FOLLOWS:
+                self.follows.clear()
             right = self.bytes_of[token]
             want = [right] if last < 0 else [self.bytes_of[last], right]
             ok = self.follows[key] = self._merged(b"".join(want)) == want

@@ -6,13 +6,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words of a shard: so many go into one suffix array.
 SHARD_WORDS = 400_000
-#: Items of one block; the words of a block (not the corpus) travel to every task.
+#: Items of one block and bytes of their texts; the words of a block (not the corpus) travel to every task.
 BLOCK_ITEMS = 20_000
+BLOCK_BYTES = 32_000_000
+#: Places of passages that a task lists at a time.
+LISTED = 2_000_000
 
 #: Markup that may stand between two words. Other brackets are punctuation.
 _MARKUP = re.compile(
@@ -98,8 +102,11 @@ def _search(seq: np.ndarray, sa: np.ndarray, want: np.ndarray, *, right: bool) -
     return low
 
 
-def _shard_matches(docs: list[tuple[int, np.ndarray]], block: Block) -> pd.DataFrame:
-    """Longest matches of one shard: doc_id, item_id, item_word, doc_word, n_words."""
+_MATCH_COLUMNS = ("doc_id", "item_id", "item_word", "doc_word", "n_words")
+
+
+def _shard_matches(docs: list[tuple[int, np.ndarray]], block: Block, listed: int = LISTED) -> Iterator[pd.DataFrame]:
+    """Longest matches of one shard: doc_id, item_id, item_word, doc_word, n_words; about `listed` places at a time, however often a passage stands in the shard."""
     n = block.least
     seq = np.concatenate([np.append(codes, 0) for _, codes in docs] + [np.zeros(n, np.int64)]).astype(np.int32)
     sizes = np.array([len(c) + 1 for _, c in docs])
@@ -110,32 +117,33 @@ def _shard_matches(docs: list[tuple[int, np.ndarray]], block: Block) -> pd.DataF
     at = np.arange(len(seq) - n)
     at = at[(seq[at] != 0) & (stop[np.minimum(np.searchsorted(stop, at), len(stop) - 1)] - at >= n)]
     query = block.suffixes()
-    empty = pd.DataFrame({c: np.empty(0, np.int64) for c in ("doc_id", "item_id", "item_word", "doc_word", "n_words")})
     if not len(at) or not len(query):
-        return empty
+        return
     sa = suffix_array(seq, at, n)
     want = block.seq[query[:, None] + np.arange(n)]
     low, high = _search(seq, sa, want, right=False), _search(seq, sa, want, right=True)
-    many = high - low
-    if not many.sum():
-        return empty
-    step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    place, suffix = sa[np.repeat(low, many) + step], np.repeat(query, many)
-    # Only where the word before differs, so that each passage comes once, from its beginning.
-    item = np.searchsorted(block.start, suffix, "right") - 1
-    item_end = np.append(block.start[1:], len(block.seq))[item]
-    goes_back = (suffix > block.start[item]) & (place > 0)
-    goes_back &= seq[np.maximum(place - 1, 0)] == block.seq[np.maximum(suffix - 1, 0)]
-    place, suffix, item, item_end = (x[~goes_back] for x in (place, suffix, item, item_end))
-    length = np.full(len(place), n)
-    growing = np.ones(len(place), bool)
-    while growing.any():
-        a, b = suffix + length, place + length
-        growing &= (a < item_end) & (b < len(seq))
-        growing &= block.seq[np.minimum(a, len(block.seq) - 1)] == seq[np.minimum(b, len(seq) - 1)]
-        length += growing
-    doc = np.searchsorted(begin, place, "right") - 1
-    return pd.DataFrame({"doc_id": doc_id[doc], "item_id": block.item_id[item], "item_word": suffix - block.start[item], "doc_word": place - begin[doc], "n_words": length})
+    found = np.flatnonzero(high > low)
+    query, low, many = query[found], low[found], (high - low)[found]
+    before = np.cumsum(many) - many
+    item_of = np.searchsorted(block.start, query, "right") - 1
+    ends = np.append(block.start[1:], len(block.seq))
+    for first in range(0, int(many.sum()), listed):
+        place_no = np.arange(first, min(first + listed, int(many.sum())))
+        q = np.searchsorted(before, place_no, "right") - 1
+        place, suffix, item = sa[low[q] + place_no - before[q]], query[q], item_of[q]
+        # Only where the word before differs, so that each passage comes once, from its beginning.
+        goes_back = (suffix > block.start[item]) & (place > 0)
+        goes_back &= seq[np.maximum(place - 1, 0)] == block.seq[np.maximum(suffix - 1, 0)]
+        place, suffix, item = (x[~goes_back] for x in (place, suffix, item))
+        length = np.full(len(place), n)
+        growing = np.ones(len(place), bool)
+        while growing.any():
+            a, b = suffix + length, place + length
+            growing &= (a < ends[item]) & (b < len(seq))
+            growing &= block.seq[np.minimum(a, len(block.seq) - 1)] == seq[np.minimum(b, len(seq) - 1)]
+            length += growing
+        doc = np.searchsorted(begin, place, "right") - 1
+        yield pd.DataFrame(dict(zip(_MATCH_COLUMNS, (doc_id[doc], block.item_id[item], suffix - block.start[item], place - begin[doc], length))))
 
 
 _MATCH = "doc_id long, item_id long, item_word long, doc_word long, n_words long"
@@ -153,15 +161,57 @@ def _matcher(block: Block):
                 held.append((doc_id, codes))
                 size += len(codes)
                 if size >= SHARD_WORDS:
-                    yield _shard_matches(held, block)
+                    yield from _shard_matches(held, block)
                     held, size = [], 0
         if held:
-            yield _shard_matches(held, block)
+            yield from _shard_matches(held, block)
+
+    return run
+
+
+def _leak_filter(block: Block, column: int):
+    """The rows whose text holds no passage of the block's items, as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        docs: list[tuple[int, np.ndarray]] = []
+        rows = size = 0
+
+        def clean() -> Iterator[pa.RecordBatch]:
+            keep = np.ones(rows, bool)
+            for found in _shard_matches(docs, block) if docs else ():
+                keep[found["doc_id"].to_numpy(np.int64)] = False
+            at = 0
+            for b in held:
+                yield b.filter(pa.array(keep[at : at + b.num_rows]))
+                at += b.num_rows
+
+        for b in batches:
+            for k, text in enumerate(b.column(column).to_pylist()):
+                codes = np.array([block.code.get(w, 0) for w in words(text)], np.int32)
+                if len(codes) >= block.least and codes.any():
+                    docs.append((rows + k, codes))
+                    size += len(codes)
+            held.append(b)
+            rows += b.num_rows
+            if size >= SHARD_WORDS or rows >= 50_000:
+                yield from clean()
+                held, docs, rows, size = [], [], 0, 0
+        yield from clean()
 
     return run
 
 
-def passages(documents: DataFrame, items: DataFrame, *, least: int = 10, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def _item_blocks(items: DataFrame, least: int, block_items: int, block_bytes: int) -> Iterator[Block]:
+    """The items in blocks of about so many items and bytes at most."""
+    listed = items.select("item_id", "item_text").where("item_id is not null and item_text is not null")
+    n, size = listed.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("item_text")), F.lit(0))).first()
+    blocks = max(1, -(-n // block_items), -(-size // block_bytes))
+    for k in range(blocks):
+        yield block_of(listed.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).toPandas(), least)
+
+
+def passages(documents: DataFrame, items: DataFrame, *, least: int = 10, block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, item_word, doc_word, n_words: every longest verbatim run of at least `least` words that a document shares with an item.
 
     item_word and doc_word say at which word (from 0) the run begins. The corpus isn't shuffled: each
@@ -171,12 +221,9 @@ def passages(documents: DataFrame, items: DataFrame, *, least: int = 10, block_i
 
     Null and empty texts, and items of fewer words, share nothing. A document with a null doc_id is left out.
     """
-    listed = items.select("item_id", "item_text").where("item_id is not null and item_text is not null")
-    blocks = max(1, -(-listed.count() // block_items))
     docs = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
     out = None
-    for k in range(blocks):
-        block = block_of(listed.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).toPandas(), least)
+    for block in _item_blocks(items, least, block_items, block_bytes):
         found = docs.mapInPandas(_matcher(block), _MATCH)
         out = found if out is None else out.unionByName(found)
     return out
@@ -187,6 +234,9 @@ def leaked(documents: DataFrame, items: DataFrame, **how) -> DataFrame:
     return passages(documents, items, **how).select("doc_id", "item_id").distinct()
 
 
-def without_leaks(documents: DataFrame, items: DataFrame, **how) -> DataFrame:
-    """The documents that hold no passage of any item. Rows with a null doc_id stay."""
-    return documents.join(leaked(documents, items, **how).select("doc_id").distinct(), "doc_id", "left_anti")
+def without_leaks(documents: DataFrame, items: DataFrame, *, least: int = 10, block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents that hold no passage of any item, with all their columns, also those with a null doc_id. Nothing is shuffled or joined."""
+    column = documents.columns.index("text")
+    for block in _item_blocks(items, least, block_items, block_bytes):
+        documents = documents.mapInArrow(_leak_filter(block, column), documents.schema)
+    return documents

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexiweave.llm.bpe_transducer import Encoder, Utf8Stream, decode, decode_documents, encode_documents, read_ranks
 from lexiweave.llm.broken_pairs import broken_pairs
@@ -89,6 +90,7 @@ def test_leaks_against_brute_force(spark, shard, monkeypatch):
     import lexiweave.llm.eval_leakage as el
 
     monkeypatch.setattr(el, "SHARD_WORDS", shard)
+    monkeypatch.setattr(el._shard_matches, "__defaults__", (7 if shard == 30 else 2_000_000,))
     rng = random.Random(8)
     voc = "abcd"
     items = [(i, " ".join(rng.choice(voc) for _ in range(rng.choice([2, 5, 30])))) for i in range(25)] + [(90, None), (91, "")]
@@ -105,6 +107,8 @@ def test_leaks_against_brute_force(spark, shard, monkeypatch):
     for r in passages(df, it, least=5).collect():
         a, b = item[r.item_id][r.item_word :], doc[r.doc_id][r.doc_word :]
         assert a[: r.n_words] == b[: r.n_words] and (len(a) == r.n_words or len(b) == r.n_words or a[r.n_words] != b[r.n_words])
+    lost = df.withColumn("doc_id", F.when(F.col("doc_id") >= 30, F.col("doc_id")))
+    assert without_leaks(lost, it, least=5).count() == len(clean) and without_leaks(df.limit(0), it).count() == 0
     assert leaked(df.limit(0), it).count() == 0 and leaked(df, it.limit(0)).count() == 0
 
 
