@@ -143,22 +143,31 @@ def cross_feature(spark: SparkSession, d: str) -> DataFrame:
     return consensus_sims(sims).groupBy("model").agg(r6(F.avg("sim")).alias("mean_sim"), r6(F.stddev_pop("sim")).alias("sd"), F.count("sim").alias("n"))
 
 
+#: Dimensions of the SVD variants.
+DIMS = (100, 300, 600)
+
+
 @C.query()
 def svd_variant_rsa(spark: SparkSession, d: str) -> DataFrame:
-    """Correlation of hidden similarities, layer 0 included, with SVD variants of counts and PPMI."""
+    """Correlation of hidden similarities, layer 0 included, with counts and PPMI and their SVD variants.
+
+    A variant needs more words and more responses than dimensions; smaller ones are the first parts of the largest.
+    """
     words = _common(spark, d)
     cells = _cells(spark, d, words)
     pairs = stored(sampled_pairs(words, PAIRS, 42), "pairs")
     hidden = stored(dense_sims(pairs, centred(_hidden(spark, d, words), "model", "layer"), "model", "layer"), "sims")
-    # Responses of five and more counts, 2,000 at most: their singular vectors pass through the driver.
-    top = cells.groupBy("response").agg(F.sum("cnt").alias("n")).where("n >= 5").orderBy(F.col("n").desc(), "response").limit(2000)
-    columns = stored(dense_index(top.select("response"), ["response"]).select("response", (F.col("index") - 1).alias("at")), "columns")
+    rank = min(cells.agg(F.count_distinct("cue")).first()[0], cells.agg(F.count_distinct("response")).first()[0])
+    dims = [n for n in DIMS if n < rank]
     out = None
     for weight in ("cnt", "ppmi"):
-        for dim in (5, 20):
-            v = svd_vectors(cells, weight, words, columns, dim).withColumn("vec", normalized(F.col("vec")))
-            c = correlations(hidden, {"svd": stored(dense_sims(pairs, v), "svd-sims")}, "model", "layer")
-            rows = c.select(F.lit(f"{weight}_svd{dim}").alias("variant"), "model", "layer", r6(F.col("pearson_svd")).alias("pearson"), "n_pairs")
+        spaces = {weight: sparse_sims(pairs, cells, weight, words)}
+        if dims:
+            v = stored(svd_vectors(cells, weight, words, dims[-1]), "svd")
+            spaces |= {f"{weight}_svd{n}": dense_sims(pairs, v.select("idx", normalized(F.slice("vec", 1, n)).alias("vec"))) for n in dims}
+        for name, sims in spaces.items():
+            c = correlations(hidden, {"svd": stored(sims, "svd-sims")}, "model", "layer")
+            rows = c.select(F.lit(name).alias("variant"), "model", "layer", r6(F.col("pearson_svd")).alias("pearson"), "n_pairs")
             out = rows if out is None else out.unionByName(rows)
     return out
 

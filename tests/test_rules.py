@@ -197,14 +197,15 @@ def test_ridge_against_numpy(spark):
     assert got["alpha_full"] == best and got["r2_full"] == pytest.approx(r2(x[250:], y[250:], *solve(a, b, best)), abs=1e-9)
 
 
-def test_svd_against_numpy(spark):
+@pytest.mark.parametrize("block_cells", [500_000, 400])
+def test_svd_against_numpy(spark, block_cells):
     rng = np.random.default_rng(2)
-    m = rng.integers(0, 4, size=(12, 9)).astype(float)
-    cells = spark.createDataFrame([(f"c{i}", f"r{j}", float(m[i, j])) for i in range(12) for j in range(9) if m[i, j]], "cue string, response string, w double")
-    words = spark.createDataFrame([(f"c{i}", i) for i in range(12)], "word string, idx long")
-    columns = spark.createDataFrame([(f"r{j}", j) for j in range(9)], "response string, at long")
-    got = {r.idx: np.array(r.vec) for r in svd_vectors(cells, "w", words, columns, 3).collect()}
+    m = rng.integers(0, 4, size=(60, 45)).astype(float) * (rng.random((60, 45)) < 0.5)
+    cells = spark.createDataFrame([(f"c{i}", f"r{j}", float(m[i, j])) for i in range(60) for j in range(45) if m[i, j]], "cue string, response string, w double")
+    words = spark.createDataFrame([(f"c{i}", i) for i in range(60)], "word string, idx long")
     u, s, _ = np.linalg.svd(m, full_matrices=False)
-    e = u[:, :3] * s[:3]
-    assert np.allclose([[got[i] @ got[j] for j in range(12)] for i in range(12)], e @ e.T)
-    assert svd_vectors(cells, "w", words, columns, 9).count() == 0
+    for dim in (3, 30):  # 23 directions of 45, and all
+        got = {r.idx: np.array(r.vec) for r in svd_vectors(cells, "w", words, dim, block_cells=block_cells).collect()}
+        e, g = u[:, :dim] * s[:dim], np.stack([got[i] for i in range(60)])
+        assert np.allclose(g @ g.T, e @ e.T, atol=0.05 * s[0] if dim == 3 else 1e-6)
+    assert svd_vectors(cells.limit(0), "w", words, 9).count() == 0
