@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lexiweave.plans import data_cleaning, files, geometry, models, reports, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**data_cleaning.QUERIES, **words.QUERIES, **geometry.QUERIES, **reports.QUERIES, **models.QUERIES, **files.QUERIES}
-SQL: dict[str, str] = {**words.SQL, **geometry.SQL, **reports.SQL, **models.SQL, **files.SQL}
+SQL: dict[str, str] = {**data_cleaning.SQL, **words.SQL, **geometry.SQL, **reports.SQL, **models.SQL, **files.SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
