@@ -3,6 +3,7 @@
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -94,8 +95,9 @@ def _hash(names: list[str]) -> list[int]:
     return sorted({zlib.crc32(n.encode("utf-8", "surrogatepass")) % FEATURES for n in names})
 
 
-def facts_features(field: str, facts: list[str]) -> list[int]:
-    """Hashed: each fact, and each pair of facts."""
+@lru_cache(20_000)
+def facts_features(field: str, facts: tuple[str, ...]) -> list[int]:
+    """Hashed: each fact, and each pair of facts. There are many pairs of few kinds, so they are remembered."""
     return _hash([*facts, *(f"{field}:{x}" for x in facts), *(f"{field}:{x}&{y}" for i, x in enumerate(facts) for y in facts[i + 1 :])])
 
 
@@ -176,8 +178,7 @@ def fit(read: DataFrame, words: DataFrame, documents: DataFrame | None, *, train
     for field, cue, text, candidates, kind, family in made:
         values, facts, said = read_pair(field, cue, text, candidates)
         hit = sum(folded(v) in known for v in values)
-        facts = [*facts, known_fact(hit, len(values))]
-        rows.append(facts_features(field, facts) + said + (_hash(letters(values)) if values and not hit else []))
+        rows.append(facts_features(field, (*facts, known_fact(hit, len(values)))) + said + (_hash(letters(values)) if values and not hit else []))
         kinds.append(kind)
         families.append(family)
     return fit_calibrated(rows, kinds, families, DEFECTS, FEATURES)
@@ -194,7 +195,7 @@ def _classify(model: Calibrated):
                 if score is None:
                     if len(seen) > 100_000:
                         seen.clear()
-                    score = seen[key] = model.margins(facts_features(field, list(key[1:])))
+                    score = seen[key] = model.margins(facts_features(field, key[1:]))
                 if len(said):
                     score = score + model.weights[said].sum(axis=0)
                 if len(items) and not n_known:

@@ -24,15 +24,25 @@ def train(features: Sequence[np.ndarray], target: np.ndarray, width: int, *, wei
     w = np.zeros((width + 1, y.shape[1]))
     squares = np.full(w.shape, 1e-6)
     rng = np.random.default_rng(seed)
+    rows = [r if len(r) else np.array([width], np.int32) for r in rows]  # a row without features has the bias
     length = np.array([len(r) for r in rows])
+    batches = []  # what a batch looks at is found once, as batches stay the same and only their order changes
+    for batch in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 64)):
+        if not len(batch):
+            continue
+        used, at = np.unique(np.concatenate([rows[r] for r in batch]), return_inverse=True)
+        by_feature = np.argsort(at, kind="stable")
+        row = np.repeat(np.arange(len(batch), dtype=np.int32), length[batch])
+        begin = np.concatenate([[0], np.cumsum(length[batch])[:-1]])
+        first = np.concatenate([[0], np.cumsum(np.bincount(at))[:-1]])
+        batches.append((batch, used, at.astype(np.int32), begin, row[by_feature], first))
     for _ in range(epochs):
-        for batch in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 64)):
-            used, at = np.unique(np.concatenate([rows[r] for r in batch]), return_inverse=True)
-            row = np.repeat(np.arange(len(batch)), length[batch])
+        for k in rng.permutation(len(batches)):
+            batch, used, at, begin, row, first = batches[k]
             own = w[used]
-            z = np.stack([np.bincount(row, own[at, k], len(batch)) for k in range(y.shape[1])], axis=1) + w[-1]
+            z = np.add.reduceat(own[at], begin, axis=0) + w[-1]
             g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[batch]) * (share[batch] / share[batch].sum())[:, None]
-            grad = np.stack([np.bincount(at, g[row, k], len(used)) for k in range(y.shape[1])], axis=1) + 1e-5 * own  # only weights of this batch move
+            grad = np.add.reduceat(g[row], first, axis=0) + 1e-5 * own  # only weights of this batch move
             squares[used] += grad**2
             w[used] -= step * grad / np.sqrt(squares[used])
             squares[-1] += g.sum(axis=0) ** 2
