@@ -69,6 +69,12 @@ def sentences(documents: DataFrame) -> DataFrame:
     return cut.withColumn("sentence", squeeze(F.col("sentence"))).where("sentence <> ''")
 
 
+def few_words(words: DataFrame, most: int, most_bytes: int = 32_000_000) -> bool:
+    """Whether a table of one column of words is small enough for a broadcast, by rows and by bytes."""
+    n, size = words.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("word")), F.lit(0))).first()
+    return n <= most and size + 16 * n <= most_bytes
+
+
 def sentences_of_words(documents: DataFrame, words: DataFrame, *, shortest: int = 5, longest: int = 100, n: int | None = 50, broadcast_words: int = 200_000) -> DataFrame:
     """word, doc_id, at, sentence, place: the first n sentences that hold each word, of `shortest` to `longest` words between blanks.
 
@@ -76,7 +82,7 @@ def sentences_of_words(documents: DataFrame, words: DataFrame, *, shortest: int
     longer ones are joined by shuffle.
     """
     wanted = words.select(F.lower("word").alias("word")).where("word is not null").distinct()
-    wanted = F.broadcast(wanted) if wanted.count() <= broadcast_words else wanted
+    wanted = F.broadcast(wanted) if few_words(wanted, broadcast_words) else wanted
     good = sentences(documents).where(F.size(F.split("sentence", " ")).between(shortest, longest))
     tokens = good.withColumn("word", F.explode(F.array_distinct(F.split(F.lower("sentence"), "[^a-z0-9]+")))).where("word <> ''")
     held = tokens.join(wanted, "word").select("word", "doc_id", "at", "sentence")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lexiweave.operators.lexicon import few_words
 from lexiweave.operators.summaries import canonical_columns
 
 #: Logical inputs and outputs, so that no reader has to guess.
@@ -127,7 +128,7 @@ def word_vectors(spark: SparkSession, path: str, words: DataFrame, *, broadcast_
     Only lines of wanted words are parsed into numbers; words without a line keep a row with valid false.
     """
     wanted = words.select(F.lower("word").alias("word")).where("word is not null").distinct()
-    small = wanted.count() <= broadcast_words
+    small = few_words(wanted, broadcast_words)
     lines = spark.read.text(path).select(F.substring_index("value", " ", 1).alias("word"), "value").where(F.size(F.split("value", " ")) > 2)
     hits = lines.join(F.broadcast(wanted) if small else wanted, "word", "left_semi").dropDuplicates(["word"])
     vectors = hits.select("word", F.transform(F.slice(F.split(F.trim("value"), " "), 2, 1_000_000), lambda x: x.cast("double")).alias("vec"))
