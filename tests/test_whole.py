@@ -78,3 +78,23 @@ def test_every_word_has_all_others_as_its_pool(spark):
     rows = against_sql(spark, "cue_shuffle_all")
     n = spark.read.parquet(f"{DATA}/vocabulary.parquet").selectExpr("lower(word) as w").where("w is not null").distinct().count()
     assert len(rows) == n * (n - 1) and max(r[1] if isinstance(r[1], int) else r[2] for r in rows) == n - 1
+
+
+@pytest.mark.parametrize("name", ["nearest_of_all", "cosine_of_all"])
+def test_no_block_or_pair_is_copied_by_a_shuffle(spark, name):
+    cells = spark.createDataFrame([(f"c{i:03}", f"r{r}", 1.0 + (i + r) % 3) for i in range(200) for r in {i % 7, 8 + i % 11, 20}], "cue string, response string, cnt double")
+    df = nearest_of_all(cells, "cnt", 5, task_cells=30) if name == "nearest_of_all" else cosine_of_all(cells, "cnt", task_cells=30)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    # Each side is shuffled once as packed blocks; pairs of words meet no join, and the nearest only the window that takes the best of parts.
+    assert plan.count("CartesianProduct") == 1 and not any(x in plan for x in ("SortMergeJoin", "HashJoin", "FlatMapGroups"))
+    assert plan.count("Exchange ") == (3 if name == "nearest_of_all" else 2)
+    want = nearest_by_cosine(cells, "cnt", 5) if name == "nearest_of_all" else cosine_pairs(cells, "cnt")
+    shown = lambda d: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in d.select(sorted(d.columns)).collect())
+    assert shown(df) == shown(want)
+
+
+@pytest.mark.parametrize("name", ["nearest_cues"])
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_geometry_of_lemmas_goes_by_blocks(spark, name):
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "FlatMapGroups" not in plan
