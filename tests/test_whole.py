@@ -93,7 +93,7 @@ def test_no_block_or_pair_is_copied_by_a_shuffle(spark, name):
     assert shown(df) == shown(want)
 
 
-@pytest.mark.parametrize("name", ["nearest_cues"])
+@pytest.mark.parametrize("name", ["cosine_counts", "cosine_ppmi", "nearest_cues"])
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 def test_geometry_of_lemmas_goes_by_blocks(spark, name):
     plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
