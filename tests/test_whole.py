@@ -1,6 +1,7 @@
 """Queries that do the whole job where their older namesakes, bound by their SQL, take a part of it."""
 
 import glob
+import hashlib
 import os
 
 import duckdb
@@ -8,8 +9,10 @@ import numpy as np
 import pytest
 from test_queries import DATA, QUERIES, SQL, ordered, same
 
+from lexiweave.functions.digests import Words
 from lexiweave.operators.compare import all_pair_consensus, all_pair_correlations, consensus_sims, correlations, dense_sims, sampled_pairs, sparse_sims
 from lexiweave.operators.counts import cosine_of_all, cosine_pairs, nearest_by_cosine, nearest_of_all
+from lexiweave.plans import words as W
 
 
 def against_sql(spark, name, data=DATA):
@@ -98,3 +101,20 @@ def test_no_block_or_pair_is_copied_by_a_shuffle(spark, name):
 def test_geometry_of_lemmas_goes_by_blocks(spark, name):
     plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "FlatMapGroups" not in plan
+
+
+def test_digests_of_many_words():
+    words = [b"", b"a", "\u00e9\u732b".encode(), *(b"x" * n for n in range(30, 70)), *(f"w{i}".encode() for i in range(9000))]
+    for prefix in (b"12345|a|", b"", b"123", b"p" * 40, b"q" * 60):
+        high, low = Words(words).md5(prefix)
+        assert [f"{h:016x}{l:016x}" for h, l in zip(high.tolist(), low.tolist())] == [hashlib.md5(prefix + w).hexdigest() for w in words]
+
+
+def test_pools_without_a_row_per_pair_in_a_shuffle(spark):
+    rows = spark.createDataFrame([(w, k) for k, w in enumerate(["a", "b", "\u00e9", "long" * 20, "c|d", "a", *(f"w{i}" for i in range(300))])], "word string, vocab_rank int")
+    asked = rows.vocab_rank % 2 == 0
+    df = W._pools(rows, asked)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "MapInArrow" in plan
+    shown = lambda d: sorted(map(tuple, d.select("cue", "word", "place").collect()))
+    assert shown(df) == shown(W._pools(rows, asked, most_words=0)) and df.count() > 300 * 150
