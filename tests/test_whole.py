@@ -10,6 +10,7 @@ import pytest
 from test_queries import DATA, QUERIES, SQL, ordered, same
 
 from lexiweave.functions.digests import Words
+from lexiweave.operators import svd
 from lexiweave.operators.compare import all_pair_consensus, all_pair_correlations, consensus_sims, correlations, dense_sims, sampled_pairs, sparse_sims
 from lexiweave.operators.counts import cosine_of_all, cosine_pairs, nearest_by_cosine, nearest_of_all
 from lexiweave.plans import words as W
@@ -118,3 +119,16 @@ def test_pools_without_a_row_per_pair_in_a_shuffle(spark):
     assert "Window" not in plan and "MapInArrow" in plan
     shown = lambda d: sorted(map(tuple, d.select("cue", "word", "place").collect()))
     assert shown(df) == shown(W._pools(rows, asked, most_words=0)) and df.count() > 300 * 150
+
+
+def test_vectors_of_an_svd_pass_as_binary_values():
+    rng = np.random.default_rng(2)
+    row, column, w, v = rng.integers(0, 40, 3000), rng.integers(0, 60, 3000), rng.normal(size=3000), rng.normal(size=(60, 7))
+    ids, at = np.unique(row, return_inverse=True)
+    got = svd._summed(ids, at, v, column, w, "idx")
+    assert all(isinstance(x, bytes) for x in got.v)
+    want = np.zeros((len(ids), 7))
+    np.add.at(want, at, v[column] * w[:, None])
+    assert np.allclose(svd._vectors(got.v), want)
+    twice = svd._add_up("idx")(got.iloc[np.tile(np.arange(len(ids)), 2)])
+    assert np.allclose(svd._vectors(twice.v), 2 * want)
