@@ -10,7 +10,7 @@ import pytest
 from test_queries import DATA, QUERIES, SQL, ordered, same
 
 from lexiweave.functions.digests import Words
-from lexiweave.operators import svd
+from lexiweave.operators import counts, svd
 from lexiweave.operators.compare import all_pair_consensus, all_pair_correlations, consensus_sims, correlations, dense_sims, sampled_pairs, sparse_sims
 from lexiweave.operators.counts import cosine_of_all, cosine_pairs, nearest_by_cosine, nearest_of_all
 from lexiweave.plans import words as W
@@ -77,6 +77,45 @@ def test_all_cues_in_many_blocks(spark):
     assert pairs(cosine_of_all(cells, "cnt", task_cells=300)) == pairs(cosine_pairs(cells, "cnt"))
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+@pytest.mark.parametrize("name", ["cosine_counts_all"])
+def test_all_pairs_leave_in_the_order_of_sim(spark, name):
+    parts = QUERIES[name](spark, DATA).rdd.map(lambda r: r.sim).glom().collect()
+    assert sum(map(len, parts)) > 4_000 and all(p == sorted(p) for p in parts)
+
+
+def test_sorted_pairs_are_those_of_sql(spark, monkeypatch):
+    monkeypatch.setattr(counts, "SORTED", 30_000)
+    monkeypatch.setattr(counts, "BATCH", 7_000)
+    rng = np.random.default_rng(8)
+    rows = {(f"c{i:03}", f"r{r}"): float(w) for i in range(600) for r, w in zip([0, *rng.integers(1, 90, 5)], rng.integers(1, 5, 6))}
+    cells = spark.createDataFrame([(c, r, w) for (c, r), w in rows.items()], "cue string, response string, cnt double")
+    con = duckdb.connect()
+    con.register("cells", cells.toPandas())
+    un = "with un as (select cue, response, cnt / sqrt(sum(cnt * cnt) over (partition by cue)) as w from cells)"
+    want = con.sql(f"{un} select a.cue, b.cue, round(sum(a.w * b.w), 6) from un a join un b on a.response = b.response and a.cue < b.cue group by 1, 2").fetchall()
+    got = [tuple(r) for r in cosine_of_all(cells, "cnt", digits=6, task_cells=2_000).collect()]
+    assert len(got) == len(set(r[:2] for r in got)) == len(want) == 600 * 599 // 2
+    assert all(x[:2] == y[:2] and same(x[2], y[2]) for x, y in zip(sorted(got), sorted(want)))
+
+
+def test_sorted_pairs_take_fewer_bytes(spark, tmp_path):
+    rows = [(f"c{i:04}", r, w) for i in range(1_600) for r, w in (("r", 1.0), (f"own{i}", 0.005 * (1 + i % 1_000)))]
+    cells, size = spark.createDataFrame(rows, "cue string, response string, cnt double"), {}
+    for digits in (None, 6):
+        df = cosine_of_all(cells, "cnt", digits=digits).selectExpr("cue_i", "cue_j", "round(sim, 6) as sim")
+        df.write.parquet(f"{tmp_path}/{digits}")
+        assert spark.read.parquet(f"{tmp_path}/{digits}").count() == 1_600 * 1_599 // 2
+        size[digits] = sum(os.path.getsize(p) for p in glob.glob(f"{tmp_path}/{digits}/*.parquet"))
+    assert size[6] < 0.75 * size[None], size
+
+
+def test_sims_are_rounded_as_duckdb_rounds():
+    x = np.concatenate([np.arange(1, 129) / 128, np.random.default_rng(1).random(2_000), [0.0, 1e-9, 4.9999999999e-7, 5e-7, 1 + 1e-12]])
+    want = [duckdb.execute("select round(?::double, 6)", [v]).fetchone()[0] for v in x.tolist()]
+    assert (counts._scaled(x, 6) / 1e6).tolist() == want and want[0] == 0.007813
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 def test_every_word_has_all_others_as_its_pool(spark):
     rows = against_sql(spark, "cue_shuffle_all")
