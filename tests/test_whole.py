@@ -78,7 +78,7 @@ def test_all_cues_in_many_blocks(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
-@pytest.mark.parametrize("name", ["cosine_counts_all"])
+@pytest.mark.parametrize("name", ["cosine_counts_all", "cosine_ppmi_all"])
 def test_all_pairs_leave_in_the_order_of_sim(spark, name):
     parts = QUERIES[name](spark, DATA).rdd.map(lambda r: r.sim).glom().collect()
     assert sum(map(len, parts)) > 4_000 and all(p == sorted(p) for p in parts)
