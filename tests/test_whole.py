@@ -110,6 +110,37 @@ def test_sorted_pairs_take_fewer_bytes(spark, tmp_path):
     assert size[6] < 0.75 * size[None], size
 
 
+def test_a_task_sorts_the_pairs_of_all_its_blocks(spark):
+    rng = np.random.default_rng(11)
+    # Ten cues in a row have most of the cells.
+    rows = {(f"c{i:03}", f"r{r}"): float(rng.integers(1, 5)) for i in range(600) for r in rng.integers(0, 90, 60 if 300 <= i < 310 else 4)}
+    cells = spark.createDataFrame([(c, r, w) for (c, r), w in rows.items()], "cue string, response string, cnt double")
+    parts = [p for p in cosine_of_all(cells, "cnt", digits=6, task_cells=300).rdd.map(tuple).glom().collect() if p]
+    assert len(parts) > 3 and all([r[2] for r in p] == sorted(r[2] for r in p) for p in parts)
+    # The first cues of a task are those of a range, in the order of the text.
+    firsts = {(min(r[0] for r in p), max(r[0] for r in p)) for p in parts}
+    assert all(a == c or b < c or d < a for a, b in firsts for c, d in firsts)
+    blocks = counts._ranges(cells, 300).groupBy("block").agg({"cue": "count"}).collect()
+    assert len(blocks) > 4 and sum(b[1] for b in blocks) == 600 and max(b[1] for b in blocks) < 300
+    want = {(r.cue_i, r.cue_j): r.sim for r in cosine_pairs(cells, "cnt").collect()}
+    got = {r[:2]: r[2] for p in parts for r in p}
+    assert sum(map(len, parts)) == len(got) and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_more_cues_than_places_of_a_window(spark, monkeypatch):
+    monkeypatch.setattr(counts, "PLACE_BITS", 8)
+    cells = spark.createDataFrame([(f"c{i:03}", f"r{r}", 1.0 + (i + r) % 3) for i in range(400) for r in {i % 7, 8 + i % 11, 20}], "cue string, response string, cnt double")
+    got = [tuple(r) for r in cosine_of_all(cells, "cnt", digits=6, task_cells=100).collect()]
+    want = {(r.cue_i, r.cue_j): r.sim for r in cosine_pairs(cells, "cnt").collect()}
+    assert len(got) == len(want) == 400 * 399 // 2 and all(abs(want[r[:2]] - r[2]) < 1e-6 for r in got)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_counts_need_no_marginals(spark, monkeypatch):
+    monkeypatch.delattr(counts, "with_marginals")
+    assert against_sql(spark, "cosine_counts_all")
+
+
 def test_sims_are_rounded_as_duckdb_rounds():
     x = np.concatenate([np.arange(1, 129) / 128, np.random.default_rng(1).random(2_000), [0.0, 1e-9, 4.9999999999e-7, 5e-7, 1 + 1e-12]])
     want = [duckdb.execute("select round(?::double, 6)", [v]).fetchone()[0] for v in x.tolist()]
