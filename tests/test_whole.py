@@ -13,7 +13,9 @@ from lexiweave.functions.digests import Words
 from lexiweave.operators import counts, svd
 from lexiweave.operators.compare import all_pair_consensus, all_pair_correlations, consensus_sims, correlations, dense_sims, sampled_pairs, sparse_sims
 from lexiweave.operators.counts import cosine_of_all, cosine_pairs, nearest_by_cosine, nearest_of_all
+from lexiweave.plans import geometry as G
 from lexiweave.plans import words as W
+from lexiweave.sources import workdir
 
 
 def against_sql(spark, name, data=DATA):
@@ -141,6 +143,14 @@ def test_counts_need_no_marginals(spark, monkeypatch):
     assert against_sql(spark, "cosine_counts_all")
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_marginals_are_made_of_counts_that_are_there(spark, monkeypatch):
+    plans = {}
+    monkeypatch.setattr(G, "stored", lambda df, label: plans.update({label: df._jdf.queryExecution().executedPlan().toString()}) or workdir.stored(df, label))
+    assert against_sql(spark, "cosine_ppmi_all")
+    assert "long_df" in plans["counts"] and "long_df" not in plans["cells"]
+
+
 def test_sims_are_rounded_as_duckdb_rounds():
     x = np.concatenate([np.arange(1, 129) / 128, np.random.default_rng(1).random(2_000), [0.0, 1e-9, 4.9999999999e-7, 5e-7, 1 + 1e-12]])
     want = [duckdb.execute("select round(?::double, 6)", [v]).fetchone()[0] for v in x.tolist()]
